@@ -33,8 +33,88 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path()).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tangentia.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tangentia.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op6_sql() -> str:
+    from tangentia.llm.url_filter import BLOCKED, RULES
+
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in longest)
+    verdict = " ".join(f"WHEN rule = '{h + p}' THEN '{v}'" for v, h, p in RULES)
+    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+        WITH cut AS (SELECT page_id, strpos(url, '://') AS at, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        ruled AS (SELECT *, CASE {rule} END AS rule FROM parts)
+        SELECT page_id, host, path, rule, CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
+
+
+#: The contract's further conversation.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the formatted conversations."""
+    from tangentia.llm.chat_format import format_chats, learnt_text, read_turns
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    out = format_chats(rows.unionByName(more))
+    turns = read_turns(F.col("formatted"))
+    learnt = learnt_text(F.col("segments"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+def op7_sql() -> str:
+    from tangentia.llm.chat_format import Template
+
+    t = Template()
+    pattern = t.pattern.replace("'", "''")
+    head = len(t.begin) + 1 + len(t.end)
+    escape = lambda x: f"regexp_replace({x}, '{pattern}', '\\1\\\\\\2\\3', 'g')"
+    role = escape("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")
+    return f"""
+        WITH rows AS (
+            SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+        chats AS (
+            SELECT conv_id, count(*) AS n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+                coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
+                ',' || string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text) AS roles,
+                sum({head} + length({role}) + length({escape('text')}))::BIGINT AS formatted_chars
+            FROM rows GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars,
+            regexp_full_match(roles, '(,system)?(,user,assistant)+') AS valid
+        FROM chats"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_toxicity": op3_toxicity,
+    "op6_url_filter": op6_url_filter,
+    "op7_chat_format": op7_chat_format,
     "op8_token_counts": op8_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_url_filter": op6_sql(), "op7_chat_format": op7_sql()}
