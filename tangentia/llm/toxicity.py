@@ -1,11 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models of the characters of words.
 
-Two interpolated Kneser-Ney models of order 5 over the UTF-8 bytes of words, one of toxic
-and one of ordinary texts, back off to one bigram model with counts of both classes, so
+Two interpolated Kneser-Ney models over the UTF-8 bytes of words, one of toxic and one of
+ordinary texts, back off from 8 to 5 to 3 bytes, and then to one bigram model with counts of both classes, so
 that what neither class knows well is scored alike. A word's evidence is the difference
-of its log-likelihoods; a text's features are the mean over its words, and the largest
-mean over a window of consecutive words (both length-normalised). A logistic curve over
-the two, fitted on labelled rows that the models haven't seen, gives the score.
+of its log-likelihoods. A text is told by the two words of the most evidence, and by the
+evidence above FLOOR of all its words, which is divided by the root of their number. A
+logistic curve over these and the number's logarithm, fitted on labelled rows that the
+models haven't seen, gives the score.
 
 Counts are gathered over all labelled training rows by distributed aggregation; what
 reaches the executors is hashed into tables of a fixed size (`buckets`).
@@ -24,16 +25,17 @@ from pyspark.sql import functions as F
 from tangentia.llm.runtime import prepared, saved, text_slices
 from tangentia.llm.words import U64, Words, lowered, mix, split_words, text_bytes
 
-ORDER = 5
+#: Bytes of the grams of each level, the last 8 at most.
+ORDERS = (3, 5, 8)
 DISCOUNT = 0.75
-#: Consecutive words whose mean evidence is compared.
-WINDOW = 8
-#: Features are clipped to +-CLIP and counted in bins of STEP to fit the curve.
-CLIP, STEP = 12.0, 0.1
+#: Evidence of a word that chance gives.
+FLOOR = 2.0
+#: Features, and the width and the largest value of the bins in which they are counted to fit the curve.
+FEATURES = {"best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0), "size": (0.5, 20.0)}
 SLICE = 8 << 20
 
 
-def word_grams(words: Words, n: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_grams(words: Words, n: int = ORDERS[-1]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(grams, words, offsets): n bytes ending at each byte of each word and at its end, as big-endian numbers.
 
     The bytes before a word count as spaces, and so does the one after it.
@@ -80,13 +82,18 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
 
 
+def tail(gram: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes."""
+    return gram if k == 8 else gram & ((1 << 8 * k) - 1)
+
+
 def bucket_of(gram: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (mix(gram.astype(U64) * U64(8) + U64(order)) % U64(buckets)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """By order from 3 up and class: discounted tables of grams and contexts, by bucket; pairs: shared bigram counts."""
+    """By order and class: discounted tables of grams and contexts, by bucket; pairs: shared bigram counts."""
 
     tables: dict
     pairs: np.ndarray
@@ -101,9 +108,9 @@ class Model:
         logs = []
         for c in (1, 0):
             p = shared
-            for k in range(3, ORDER + 1):
+            for k in ORDERS:
                 grams, totals, types = self.tables[k, c]
-                g = gram & ((1 << 8 * k) - 1)
+                g = tail(gram, k)
                 at, over = bucket_of(g, k, self.buckets), bucket_of(g >> 8, k, self.buckets)
                 n, rest = grams[at], totals[over]
                 known = rest > 0
@@ -115,17 +122,17 @@ class Model:
 
 def fit_model(counts: DataFrame, buckets: int) -> Model:
     """The tables of a model from (toxic, gram, n); only sums by bucket come to the driver."""
-    buckets_max = 2 * 3 * (ORDER - 2) * buckets
+    buckets_max = 2 * 3 * len(ORDERS) * buckets
     level, frames = counts, []
-    for k in range(ORDER, 2, -1):
+    for k, lower in zip(ORDERS[::-1], (*ORDERS[-2::-1], 0)):
         followers = level.groupBy("toxic", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
         frames += [
             level.select("toxic", F.lit(k).alias("k"), "gram", F.lit(0).alias("what"), "n"),
             followers.select("toxic", F.lit(k).alias("k"), "gram", F.lit(1).alias("what"), F.col("total").alias("n")),
             followers.select("toxic", F.lit(k).alias("k"), "gram", F.lit(2).alias("what"), F.col("types").alias("n")),
         ]
-        # Below the highest order a gram counts once for each byte that it is seen after.
-        level = level.groupBy("toxic", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        # Below the highest order a gram counts once for each string of bytes that it is seen after.
+        level = level.groupBy("toxic", F.col("gram").bitwiseAND(F.lit((1 << 8 * lower) - 1)).alias("gram")).agg(F.count("*").alias("n"))
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionAll(f)
@@ -142,7 +149,7 @@ def fit_model(counts: DataFrame, buckets: int) -> Model:
     got = sums.toArrow()
     assert len(got) <= buckets_max
     columns = {c: got.column(c).to_numpy() for c in got.column_names}
-    tables = {(k, c): [np.zeros(buckets, np.float32) for _ in range(3)] for k in range(3, ORDER + 1) for c in (0, 1)}
+    tables = {(k, c): [np.zeros(buckets, np.float32) for _ in range(3)] for k in ORDERS for c in (0, 1)}
     for (k, c), three in tables.items():
         for what in range(3):
             own = (columns["k"] == k) & (columns["toxic"] == c) & (columns["what"] == what)
@@ -153,37 +160,36 @@ def fit_model(counts: DataFrame, buckets: int) -> Model:
     return Model(tables, pairs.reshape(256, 256), buckets)
 
 
-def text_features(model: Model, column: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(largest mean evidence of a window, mean evidence) by text; both 0 without words."""
+def text_features(model: Model, column: pa.Array) -> np.ndarray:
+    """FEATURES by text, one a column; a word that is missing has no evidence."""
     few, which, words = distinct_words(column)
-    n_docs = len(words.first) - 1
-    if not len(words):
-        return np.zeros(n_docs), np.zeros(n_docs)
-    gram, _, at = word_grams(few)
-    each = np.add.reduceat(model.evidence(gram), at[:-1])[which]
     size = np.diff(words.first)
-    sums = np.concatenate([[0], np.cumsum(each)])
-    mean = np.diff(sums[words.first]) / np.maximum(size, 1)
-    # Windows by their last word; those that would begin before their text begin with it.
-    place = np.arange(len(each)) - np.repeat(words.first[:-1], size)
-    held = np.minimum(place + 1, window)
-    value = (sums[1:] - sums[np.arange(len(each)) + 1 - held]) / np.minimum(np.repeat(size, size), window)
-    value[(held < window) & (np.repeat(size, size) > held)] = -np.inf
-    full = size > 0
-    best = np.zeros(n_docs)
-    best[full] = np.maximum.reduceat(value, words.first[:-1][full])
-    return best, mean
-
-
-def fit_curve(a: np.ndarray, b: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights (constant, a, b) of a logistic regression over weighted points, with a small ridge."""
-    x = np.stack([np.ones(len(a)), a, b], 1)
-    w = np.zeros(3)
+    out = np.zeros((len(size), len(FEATURES)))
+    out[:, 3] = np.log1p(size)
+    if len(words):
+        gram, _, at = word_grams(few)
+        each = np.add.reduceat(model.evidence(gram), at[:-1])[which]
+        full = np.flatnonzero(size)
+        first = words.first[:-1][full]
+        best = np.maximum.reduceat(each, first)
+        out[full, 0] = np.maximum(best, 0)
+        out[full, 2] = np.add.reduceat(np.maximum(each - FLOOR, 0), first) / np.sqrt(size[full])
+        top = np.flatnonzero(each == np.repeat(best, size[full]))
+        top = top[np.concatenate([[True], words.doc[top][1:] != words.doc[top][:-1]])]
+        each[top] = 0
+        out[full, 1] = np.maximum(np.maximum.reduceat(each, first), 0)
+    return np.minimum(out, [most for _, most in FEATURES.values()])
+
+
+def fit_curve(features: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights, the constant first, of a logistic regression over weighted points, with a small ridge."""
+    x = np.column_stack([np.ones(len(features)), features])
+    w = np.zeros(x.shape[1])
     rate = np.clip((label * n).sum() / max(n.sum(), 1), 1e-6, 1 - 1e-6)
     w[0] = np.log(rate / (1 - rate))
     if not 0 < (label * n).sum() < n.sum():
         return w
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
+    ridge = np.diag([1e-6, *[1e-2] * features.shape[1]])
     cost = lambda w: (n * (np.logaddexp(0, x @ w) - label * (x @ w))).sum() + 0.5 * w @ ridge @ w
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -202,7 +208,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, buckets: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, buckets: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row of docs: id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     labels: (id, label 0 or 1); other labels, null labels and null ids teach nothing. Ids of
@@ -220,13 +226,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
-            a, b = text_features(model.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.clip(a, -CLIP, CLIP)), pa.array(np.clip(b, -CLIP, CLIP))], ["id", "a", "b"])
-
-    features = saved(texts.mapInArrow(run, f"id {kind}, a double, b double"))
-    bins = features.join(known.filter("fold = 1"), "id").groupBy(F.round(F.col("a") / STEP).alias("a"), F.round(F.col("b") / STEP).alias("b"), "toxic").agg(F.count("*").alias("n"))
-    got = bins.toPandas()
-    w = fit_curve(got["a"].to_numpy() * STEP, got["b"].to_numpy() * STEP, got["toxic"].to_numpy(), got["n"].to_numpy()) if len(got) else np.array([-np.inf, 0, 0])
-    logit = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("a") + F.lit(float(w[2])) * F.col("b")
-    score = (1 / (1 + F.exp(-logit))) if len(got) else F.lit(0.0)
+            values = text_features(model.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, values.T)], ["id", *FEATURES])
+
+    features = saved(texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} double" for x in FEATURES)))
+    bins = [F.round(F.col(x) / step).alias(x) for x, (step, _) in FEATURES.items()]
+    got = features.join(known.filter("fold = 1"), "id").groupBy(*bins, "toxic").agg(F.count("*").alias("n")).toPandas()
+    score = F.lit(0.0)
+    if len(got):
+        w = fit_curve(got[list(FEATURES)].to_numpy() * [step for step, _ in FEATURES.values()], got["toxic"].to_numpy(), got["n"].to_numpy())
+        logit = F.lit(float(w[0]))
+        for x, weight in zip(FEATURES, w[1:]):
+            logit += F.lit(float(weight)) * F.col(x)
+        score = 1 / (1 + F.exp(-logit))
     return features.select(F.col("id").alias(id_col), (fold(F.col("id")) == 2).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
