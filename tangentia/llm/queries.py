@@ -110,11 +110,19 @@ def op7_sql() -> str:
         FROM chats"""
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tangentia.llm.quality_rules import fit_field, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_field(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_token_counts": op8_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {"op6_url_filter": op6_sql(), "op7_chat_format": op7_sql()}
