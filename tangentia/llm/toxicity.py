@@ -93,11 +93,10 @@ def bucket_of(gram: np.ndarray, order: int, buckets: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """By order and class: discounted tables of grams and contexts, by bucket; pairs: shared bigram counts."""
+    """tables: by class, order, and what (grams, their contexts' sums and followers), one value a bucket; pairs: shared bigram counts."""
 
-    tables: dict
+    tables: np.ndarray
     pairs: np.ndarray
-    buckets: int
 
     def evidence(self, gram: np.ndarray) -> np.ndarray:
         """log P(byte | toxic) - log P(byte | ordinary) of each gram's last byte."""
@@ -108,10 +107,10 @@ class Model:
         logs = []
         for c in (1, 0):
             p = shared
-            for k in ORDERS:
-                grams, totals, types = self.tables[k, c]
-                g = tail(gram, k)
-                at, over = bucket_of(g, k, self.buckets), bucket_of(g >> 8, k, self.buckets)
+            for i, k in enumerate(ORDERS):
+                grams, totals, types = self.tables[c, i]
+                g, buckets = tail(gram, k), self.tables.shape[-1]
+                at, over = bucket_of(g, k, buckets), bucket_of(g >> 8, k, buckets)
                 n, rest = grams[at], totals[over]
                 known = rest > 0
                 rest = np.where(known, rest, 1)
@@ -121,43 +120,39 @@ class Model:
 
 
 def fit_model(counts: DataFrame, buckets: int) -> Model:
-    """The tables of a model from (toxic, gram, n); only sums by bucket come to the driver."""
-    buckets_max = 2 * 3 * len(ORDERS) * buckets
-    level, frames = counts, []
-    for k, lower in zip(ORDERS[::-1], (*ORDERS[-2::-1], 0)):
+    """The tables of a model from (toxic, gram, n); only sums by bucket come to the driver.
+
+    One value a bucket: 18 * buckets for the tables and 65,536 for the pairs at most.
+    """
+    level, last = counts, len(ORDERS) - 1
+    frames = [counts.select(F.lit(-1).alias("cell"), F.lit(2).alias("k"), F.col("gram").bitwiseAND(F.lit(65535)).alias("gram"), "n")]
+    for i in range(last, -1, -1):
+        cell = lambda what, i=i: ((F.col("toxic") * len(ORDERS) + i) * 3 + what).cast("int").alias("cell")
+        k = F.lit(ORDERS[i]).alias("k")
         followers = level.groupBy("toxic", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        frames += [
-            level.select("toxic", F.lit(k).alias("k"), "gram", F.lit(0).alias("what"), "n"),
-            followers.select("toxic", F.lit(k).alias("k"), "gram", F.lit(1).alias("what"), F.col("total").alias("n")),
-            followers.select("toxic", F.lit(k).alias("k"), "gram", F.lit(2).alias("what"), F.col("types").alias("n")),
-        ]
-        # Below the highest order a gram counts once for each string of bytes that it is seen after.
-        level = level.groupBy("toxic", F.col("gram").bitwiseAND(F.lit((1 << 8 * lower) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        frames += [level.select(cell(0), k, "gram", "n"), followers.select(cell(1), k, "gram", F.col("total").alias("n")), followers.select(cell(2), k, "gram", F.col("types").alias("n"))]
+        if i:
+            # Below the highest order a gram counts once for each string of bytes that it is seen after.
+            level = level.groupBy("toxic", F.col("gram").bitwiseAND(F.lit((1 << 8 * ORDERS[i - 1]) - 1)).alias("gram")).agg(F.count("*").alias("n"))
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionAll(f)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gram, k = b.column("gram").to_numpy(), b.column("k").to_numpy()
-            at = np.zeros(len(gram), np.int64)
-            for order in np.unique(k):
-                at[k == order] = bucket_of(gram[k == order], int(order), buckets)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("k"), b.column("what"), pa.array(at), b.column("n")], ["toxic", "k", "what", "bucket", "n"])
-
-    sums = rows.mapInArrow(placed, "toxic int, k int, what int, bucket long, n long").groupBy("toxic", "k", "what", "bucket").agg(F.sum("n").cast("float").alias("n"))
-    got = sums.toArrow()
-    assert len(got) <= buckets_max
-    columns = {c: got.column(c).to_numpy() for c in got.column_names}
-    tables = {(k, c): [np.zeros(buckets, np.float32) for _ in range(3)] for k in ORDERS for c in (0, 1)}
-    for (k, c), three in tables.items():
-        for what in range(3):
-            own = (columns["k"] == k) & (columns["toxic"] == c) & (columns["what"] == what)
-            three[what][columns["bucket"][own]] = columns["n"][own]
-    pairs = np.zeros(65536)
-    for r in counts.groupBy(F.col("gram").bitwiseAND(F.lit(65535)).alias("pair")).agg(F.sum("n").alias("n")).collect():
-        pairs[r["pair"]] = r["n"]
-    return Model(tables, pairs.reshape(256, 256), buckets)
+            gram, k, cell = (b.column(x).to_numpy() for x in ("gram", "k", "cell"))
+            at = np.where(cell < 0, -1 - gram, 0)
+            for order in np.unique(k[cell >= 0]):
+                own = (k == order) & (cell >= 0)
+                at[own] = cell[own] * np.int64(buckets) + bucket_of(gram[own], int(order), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("n")], ["at", "n"])
+
+    got = rows.mapInArrow(placed, "at long, n long").groupBy("at").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
+    tables, pairs = np.zeros(2 * len(ORDERS) * 3 * buckets, np.float32), np.zeros(65536)
+    tables[at[at >= 0]] = n[at >= 0]
+    pairs[-1 - at[at < 0]] = n[at < 0]
+    return Model(tables.reshape(2, len(ORDERS), 3, buckets), pairs.reshape(256, 256))
 
 
 def text_features(model: Model, column: pa.Array) -> np.ndarray:
@@ -220,7 +215,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, b
     spark = prepared(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), fold(F.col(id_col)).alias("fold"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = saved(gram_counts(texts.join(known.filter(F.col("fold").isin(0, 3)), "id").select("toxic", "text")))
+    counts = gram_counts(texts.join(known.filter(F.col("fold").isin(0, 3)), "id").select("toxic", "text"))
     model = spark.sparkContext.broadcast(fit_model(counts, buckets))
     kind = docs.schema[id_col].dataType.simpleString()
 
