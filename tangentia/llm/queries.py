@@ -123,6 +123,12 @@ def op7_sql() -> str:
         FROM chats"""
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tangentia.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tangentia.llm.quality_rules import fit_field, quality_rules
 
@@ -138,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_chat_format": op7_chat_format,
     "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {"op6_url_filter": op6_sql(), "op7_chat_format": op7_sql()}

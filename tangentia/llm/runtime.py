@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; longer single texts pass alone.
 SLICE_BYTES = 4 << 20
+#: Bits of a sieve, whatever the number of keys; 8 MB before compression.
+SIEVE_BITS = 1 << 26
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -44,3 +50,28 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             total += n
         if begin < len(sizes):
             yield batch.slice(begin)
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A function of a column: false only for values that are not in keys[column].
+
+    One bit per key in a table of a fixed size, which is all that executors get; the more
+    keys, the more other values pass, and what passes must still be joined. It spares most rows the
+    shuffle to a join that few of them meet.
+    """
+    spark = keys.sparkSession
+    at = keys.select(F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(SIEVE_BITS // 32, np.uint32)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+    @F.pandas_udf("boolean")
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = np.frombuffer(zlib.decompress(sent.value), np.uint32)
+        for at in batches:
+            at = at.to_numpy()
+            yield pd.Series((own[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)))

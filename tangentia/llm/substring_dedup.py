@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, saved, text_slices
+from tangentia.llm.runtime import prepared, saved, sieve, text_slices
 from tangentia.llm.words import U64, Words, as_long, covered, mix, split_words, text_bytes
 
 #: Words of a new symbol at most, by round. A round moves the border of what depends on
@@ -162,13 +162,13 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(rid, spans): the stretches [begin, end) of words of each text that a smaller id has; docs: id, rid, text."""
     known = docs.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * window - 1))
     anchors = _anchors(known, window)
-    keys = anchors.groupBy("key").agg(F.min("id").alias("kmin"), F.max("id").alias("kmax")).filter("kmin < kmax").drop("kmax")
-    shared = saved(anchors.join(keys, "key"))
+    keys = saved(anchors.groupBy("key").agg(F.min("id").alias("kmin"), F.max("id").alias("kmax")).filter("kmin < kmax").drop("kmax"))
+    shared = saved(anchors.filter(sieve(keys, "key")(F.col("key"))).join(keys, "key"))
     by_region = saved(shared.groupBy("key", "region").agg(F.min(F.struct("id", "rid", "start")).alias("rep"), F.first("n").alias("n"), F.first("kmin").alias("kmin")))
     open_keys = by_region.filter("rep.id <> kmin").select("key").distinct()
-    parts = by_region.join(open_keys, "key", "left_semi").groupBy(F.col("rep.rid").alias("rid")).agg(F.collect_list(F.struct("key", "region", F.col("rep.start").alias("start"), "n")).alias("parts"))
+    parts = saved(by_region.join(open_keys, "key", "left_semi").groupBy(F.col("rep.rid").alias("rid")).agg(F.collect_list(F.struct("key", "region", F.col("rep.start").alias("start"), "n")).alias("parts")))
 
-    windows = saved(_windows(known.join(parts, "rid").select("id", "text", "parts"), window))
+    windows = saved(_windows(known.filter(sieve(parts, "rid")(F.col("rid"))).join(parts, "rid").select("id", "text", "parts"), window))
     owners = windows.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
     own = windows.select("key", "region", "place", "w1", "w2").distinct().join(owners, ["w1", "w2"]).groupBy("key", "region").agg(F.collect_list(F.struct("place", "owner")).alias("owned"))
     settled = by_region.filter("rep.id = kmin").select("key", "region", F.lit(None).cast(own.schema["owned"].dataType).alias("owned"), "kmin", "n")
@@ -206,14 +206,18 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     judged on the input. kept_text: the other words joined by one space. Null and empty
     texts have no words; a row with a null id keeps its text and takes none away from others; rows
     of one id don't take words from each other. Shuffles: the anchors of all texts
-    (about one in 16 words), and the texts twice, to meet what was found.
+    (about one in 16 words), and the texts that share something, to meet what was found.
     """
     prepared(docs.sparkSession)
     row = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("rid"), docs[text_col].alias("text"))
-    spans = repeated_spans(row, window)
+    spans = saved(repeated_spans(row, window))
+    met = sieve(spans, "rid")(F.col("rid"))
     base = docs.drop("n_words", "n_removed", "kept_text", "spans", "rid")
     names = base.columns
-    joined = base.withColumn("rid", F.xxhash64(docs[id_col], docs[text_col])).join(spans, "rid", "left").drop("rid")
+    told = base.withColumn("rid", F.xxhash64(docs[id_col], docs[text_col]))
+    # Only texts of which something may go are shuffled.
+    joined = told.filter(met).join(spans, "rid", "left").drop("rid")
+    others = told.filter(~met).drop("rid").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     schema = f"{base._jdf.schema().toDDL()}, n_words long, n_removed long, kept_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,4 +233,4 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
             removed = np.bincount(words.doc, gone, batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(words.first)), pa.array(removed), kept], [*names, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).unionAll(others.mapInArrow(run, schema))

@@ -14,6 +14,7 @@ reaches the executors is hashed into tables of a fixed size (`buckets`).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, saved, text_slices
+from tangentia.llm.runtime import prepared, saved, sieve, text_slices
 from tangentia.llm.words import U64, Words, lowered, mix, split_words, text_bytes
 
 #: Bytes of the grams of each level, the last 8 at most.
@@ -33,6 +34,8 @@ FLOOR = 2.0
 #: Features, and the width and the largest value of the bins in which they are counted to fit the curve.
 FEATURES = {"best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0), "size": (0.5, 20.0)}
 SLICE = 8 << 20
+#: Steps of a doubling in the tables that are sent.
+LOG_STEPS = 1024
 
 
 def word_grams(words: Words, n: int = ORDERS[-1]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +101,15 @@ class Model:
     tables: np.ndarray
     pairs: np.ndarray
 
+    def packed(self) -> tuple[bytes, tuple, np.ndarray]:
+        """The tables as logarithms of 16 bits, compressed; executors keep copies of what they are sent."""
+        return zlib.compress(np.minimum(np.round(np.log2(1 + self.tables) * LOG_STEPS), 65535).astype(np.uint16), 1), self.tables.shape, self.pairs
+
+    @classmethod
+    def unpacked(cls, blob: bytes, shape: tuple, pairs: np.ndarray) -> Model:
+        logs = np.frombuffer(zlib.decompress(blob), np.uint16).reshape(shape)
+        return cls((np.exp2(np.arange(65536) / LOG_STEPS) - 1).astype(np.float32)[logs], pairs)
+
     def evidence(self, gram: np.ndarray) -> np.ndarray:
         """log P(byte | toxic) - log P(byte | ordinary) of each gram's last byte."""
         last, before = gram & 255, (gram >> 8) & 255
@@ -210,18 +222,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, b
     fold 2 are held out; those of folds 0 and 3 teach the models, and those of fold 1 the
     curve. Without labels of both classes there, the score is the share of toxic labels, or
     0 without any. Null and empty texts score as texts without evidence. Rows stay as they
-    are (repeated ids give repeated rows). One shuffle of the texts, to meet their labels.
+    are (repeated ids give repeated rows). One shuffle of the labelled texts, to meet their labels.
     """
     spark = prepared(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), fold(F.col(id_col)).alias("fold"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = gram_counts(texts.join(known.filter(F.col("fold").isin(0, 3)), "id").select("toxic", "text"))
-    model = spark.sparkContext.broadcast(fit_model(counts, buckets))
+    taught = known.filter(F.col("fold").isin(0, 3))
+    counts = saved(gram_counts(texts.filter(sieve(taught, "id")(F.col("id"))).join(taught, "id").select("toxic", "text")))
+    model = spark.sparkContext.broadcast(fit_model(counts, buckets).packed())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.unpacked(*model.value)
         for batch in text_slices(batches, "text", SLICE):
-            values = text_features(model.value, batch.column("text"))
+            values = text_features(own, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, values.T)], ["id", *FEATURES])
 
     features = saved(texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} double" for x in FEATURES)))
