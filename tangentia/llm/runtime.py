@@ -75,3 +75,10 @@ def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
             yield pd.Series((own[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
 
     return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)))
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of docs whose column isn't in gone (one column of that name, not null); only rows that may go are shuffled."""
+    gone = saved(gone.select(column).distinct())
+    meets = F.coalesce(sieve(gone, column)(F.col(column)), F.lit(False)) & F.col(column).isNotNull()
+    return docs.filter(~meets).unionAll(docs.filter(meets).join(gone, column, "left_anti").select(docs.columns))

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,37 +216,71 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, buckets: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Per row of docs: id, held_out, score (0 to 1), predicted (1 if score >= threshold).
+@dataclass
+class Scorer:
+    """What texts are scored with: a broadcast model and the curve's weights, None without labels."""
+
+    model: Broadcast
+    weights: np.ndarray | None
+
 
-    labels: (id, label 0 or 1); other labels, null labels and null ids teach nothing. Ids of
-    fold 2 are held out; those of folds 0 and 3 teach the models, and those of fold 1 the
-    curve. Without labels of both classes there, the score is the share of toxic labels, or
-    0 without any. Null and empty texts score as texts without evidence. Rows stay as they
-    are (repeated ids give repeated rows). One shuffle of the labelled texts, to meet their labels.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+    """A scorer from labelled rows: labels of (id, 0 or 1); other labels, null labels and null ids teach nothing.
+
+    Ids of folds 0 and 3 teach the models, those of fold 1 the curve, and fold 2 is held
+    out. The labelled texts are shuffled, to meet their labels; the others are not.
     """
     spark = prepared(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), fold(F.col(id_col)).alias("fold"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    taught = known.filter(F.col("fold").isin(0, 3))
-    counts = saved(gram_counts(texts.filter(sieve(taught, "id")(F.col("id"))).join(taught, "id").select("toxic", "text")))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return texts.filter(sieve(rows, "id")(F.col("id"))).join(rows, "id").select("toxic", "text")
+
+    counts = saved(gram_counts(labelled(known.filter(F.col("fold").isin(0, 3)))))
     model = spark.sparkContext.broadcast(fit_model(counts, buckets).packed())
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.unpacked(*model.value)
         for batch in text_slices(batches, "text", SLICE):
-            values = text_features(own, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, values.T)], ["id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, text_features(own, batch.column("text")).T)], ["toxic", *FEATURES])
 
-    features = saved(texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{x} double" for x in FEATURES)))
+    features = labelled(known.filter("fold = 1")).mapInArrow(run, "toxic int, " + ", ".join(f"{x} double" for x in FEATURES))
     bins = [F.round(F.col(x) / step).alias(x) for x, (step, _) in FEATURES.items()]
-    got = features.join(known.filter("fold = 1"), "id").groupBy(*bins, "toxic").agg(F.count("*").alias("n")).toPandas()
-    score = F.lit(0.0)
-    if len(got):
-        w = fit_curve(got[list(FEATURES)].to_numpy() * [step for step, _ in FEATURES.values()], got["toxic"].to_numpy(), got["n"].to_numpy())
-        logit = F.lit(float(w[0]))
-        for x, weight in zip(FEATURES, w[1:]):
-            logit += F.lit(float(weight)) * F.col(x)
-        score = 1 / (1 + F.exp(-logit))
-    return features.select(F.col("id").alias(id_col), (fold(F.col("id")) == 2).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    got = features.groupBy(*bins, "toxic").agg(F.count("*").alias("n")).toPandas()
+    if not len(got):
+        return Scorer(model, None)
+    return Scorer(model, fit_curve(got[list(FEATURES)].to_numpy() * [step for step, _ in FEATURES.values()], got["toxic"].to_numpy(), got["n"].to_numpy()))
+
+
+def with_toxicity(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
+    """The rows of docs with `score` from 0 to 1 (a column of that name is replaced).
+
+    Null and empty texts score as texts without evidence. Without labels of both classes
+    for the curve, the score is the share of toxic ones there, or 0 without any. A narrow pass.
+    """
+    prepared(docs.sparkSession)
+    base = docs.drop("score")
+    model, weights = scorer.model, scorer.weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.unpacked(*model.value)
+        for batch in text_slices(batches, text_col, SLICE):
+            if weights is None:
+                score = np.zeros(batch.num_rows)
+            else:
+                logit = weights[0] + text_features(own, batch.column(text_col)) @ weights[1:]
+                score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+
+    return base.mapInArrow(run, f"{base._jdf.schema().toDDL()}, score double")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Per row of docs: id, held_out (its fold taught nothing), score, predicted (1 if score >= threshold).
+
+    Rows stay as they are: repeated ids give repeated rows. See fit_toxicity and with_toxicity.
+    """
+    scorer = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    out = with_toxicity(docs.select(id_col, text_col), scorer, text_col)
+    return out.select(id_col, (fold(F.col(id_col)) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
