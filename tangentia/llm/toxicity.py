@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 FLOOR = 2.0
 #: Features, and the width and the largest value of the bins in which they are counted to fit the curve.
 FEATURES = {"best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0), "size": (0.5, 20.0)}
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Steps of a doubling in the tables that are sent.
 LOG_STEPS = 1024
 
@@ -97,22 +97,22 @@ def bucket_of(gram: np.ndarray, order: int, buckets: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """tables: by class, order, and what (grams, their contexts' sums and followers), one value a bucket; pairs: shared bigram counts."""
+    """tables: by class, order, and what (grams, their contexts' sums and followers), the logarithm of one more than the count by bucket; pairs: shared bigram counts."""
 
     tables: np.ndarray
     pairs: np.ndarray
 
     def packed(self) -> tuple[bytes, tuple, np.ndarray]:
-        """The tables as logarithms of 16 bits, compressed; executors keep copies of what they are sent."""
-        return zlib.compress(np.minimum(np.round(np.log2(1 + self.tables) * LOG_STEPS), 65535).astype(np.uint16), 1), self.tables.shape, self.pairs
+        """Compressed, as executors keep copies of what they are sent."""
+        return zlib.compress(self.tables.tobytes(), 1), self.tables.shape, self.pairs
 
     @classmethod
     def unpacked(cls, blob: bytes, shape: tuple, pairs: np.ndarray) -> Model:
-        logs = np.frombuffer(zlib.decompress(blob), np.uint16).reshape(shape)
-        return cls((np.exp2(np.arange(65536) / LOG_STEPS) - 1).astype(np.float32)[logs], pairs)
+        return cls(np.frombuffer(zlib.decompress(blob), np.uint16).reshape(shape), pairs)
 
     def evidence(self, gram: np.ndarray) -> np.ndarray:
         """log P(byte | toxic) - log P(byte | ordinary) of each gram's last byte."""
+        counts = np.exp2(np.arange(65536) / LOG_STEPS) - 1
         last, before = gram & 255, (gram >> 8) & 255
         single = (self.pairs.sum(0) + 0.5) / (self.pairs.sum() + 128)
         total = self.pairs.sum(1)
@@ -124,10 +124,10 @@ class Model:
                 grams, totals, types = self.tables[c, i]
                 g, buckets = tail(gram, k), self.tables.shape[-1]
                 at, over = bucket_of(g, k, buckets), bucket_of(g >> 8, k, buckets)
-                n, rest = grams[at], totals[over]
+                n, rest = counts[grams[at]], counts[totals[over]]
                 known = rest > 0
                 rest = np.where(known, rest, 1)
-                p = np.where(known, np.maximum(n - DISCOUNT, 0) / rest + np.minimum(DISCOUNT * types[over] / rest, 1) * p, p)
+                p = np.where(known, np.maximum(n - DISCOUNT, 0) / rest + np.minimum(DISCOUNT * counts[types[over]] / rest, 1) * p, p)
             logs.append(np.log(p))
         return logs[0] - logs[1]
 
@@ -162,8 +162,8 @@ def fit_model(counts: DataFrame, buckets: int) -> Model:
 
     got = rows.mapInArrow(placed, "at long, n long").groupBy("at").agg(F.sum("n").cast("float").alias("n")).toArrow()
     at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
-    tables, pairs = np.zeros(2 * len(ORDERS) * 3 * buckets, np.float32), np.zeros(65536)
-    tables[at[at >= 0]] = n[at >= 0]
+    tables, pairs = np.zeros(2 * len(ORDERS) * 3 * buckets, np.uint16), np.zeros(65536)
+    tables[at[at >= 0]] = np.minimum(np.round(np.log2(1 + n[at >= 0]) * LOG_STEPS), 65535)
     pairs[-1 - at[at < 0]] = n[at < 0]
     return Model(tables.reshape(2, len(ORDERS), 3, buckets), pairs.reshape(256, 256))
 
