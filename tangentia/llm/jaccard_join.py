@@ -4,8 +4,8 @@ A document's set is its distinct shingles. Documents with equal sets are one cla
 different sets that link differ in at most D shingles, D from the larger size and the
 threshold; so of more than D parts, into which a hash deals all shingles, one is equal in
 both. Where the threshold is so low that parts would hold few shingles, sets are told by
-their rarest shingles instead: so many that two sets that link have one in common, rare
-by a count of all shingles in a table of a fixed size (any order gives the same links).
+their first shingles in the order of their hashes instead: by so many that two sets that
+link share several of them, and a set that doesn't share so many with others can't link.
 What is equal gathers classes that may link into partitions of similar sets, cut by
 number of shingles where a partition is large; nothing outside a partition can link.
 
@@ -19,7 +19,6 @@ counted exactly.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tangentia.llm.components import components
-from tangentia.llm.runtime import prepared, saved, sieve, text_slices
+from tangentia.llm.runtime import SIEVE_BITS, prepared, saved, sieve, sieve_table, sifted, text_slices, unpacked
 from tangentia.llm.words import U64, Words, as_long, lowered, mix, split_words, text_bytes, windows_of
 
 #: Sets of a group of the matrix at most.
@@ -38,8 +37,8 @@ GROUP = 32
 BLOCK = 1_000_000
 #: Sizes of a level grow by this factor.
 GROWTH = 1.25
-#: Counters of the table of all shingles, and of one row in which they are summed.
-COUNTERS, ROW = 1 << 20, 1 << 12
+#: Shingles that linked sets share at least among their first ones, as a part of their size.
+SHARED = 0.06
 #: From this similarity on, in percent, parts hold enough shingles.
 PARTS_FROM = 88
 
@@ -135,41 +134,24 @@ def signatures(key: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[
     return sig[order], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))])
 
 
-def shingle_levels(rows: DataFrame, k: int) -> np.ndarray:
-    """The binary logarithm of how often the shingles of each counter stand in all texts."""
+def first_shared(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shingles of a set, shared ones among them that a set needs to link), by size.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in text_slices(batches):
-            raw, offsets = text_bytes(batch.column("text"))
-            words = split_words(lowered(raw), offsets)
-            _, key = windows_of(words, words.hashes(), k)
-            total += np.bincount((key & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTERS // ROW)), pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, ROW)], pa.binary())], ["row", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row, blob in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist()):
-                total[row] = total.get(row, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["row", "counts"])
-
-    out = np.zeros((COUNTERS // ROW, ROW), np.int64)
-    kind = "row long, counts binary"
-    for r in rows.select("text").mapInArrow(count, kind).repartition("row").mapInArrow(add, kind).collect():
-        out[r["row"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return np.ceil(np.log2(1 + out.ravel())).astype(np.uint8)
+    If two sets link, each lacks at most size - ceil(num / den * size) of its shingles in the
+    other; with l more first shingles than these on both sides, l first ones at least are
+    common. l grows with the size, and the other set may be the smaller by num / den.
+    """
+    lacks = size - -(-size * num // den)
+    more = lambda n: np.maximum(np.ceil(SHARED * n), 1).astype(np.int64)
+    return np.where(size * (den - num) >= num, np.minimum(size, lacks + more(size)), 0), more(-(-size * num // den))
 
 
-def rarest(key: np.ndarray, first: np.ndarray, num: int, den: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, offsets): of each set the first size - ceil(num / den * size) + 1 by level and hash, if another set can link at all."""
+def firsts(key: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the first shingles, offsets) of sets whose shingles are in order."""
     size = np.diff(first)
-    doc = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((key, level[(key & U64(COUNTERS - 1)).astype(np.int64)], doc))
-    held = np.where(size * (den - num) >= num, size + 1 - -(-size * num // den), 0)
+    held, _ = first_shared(size, num, den)
     take = np.arange(len(key)) - np.repeat(first[:-1], size) < np.repeat(held, size)
-    return mix(key[order[take]] + U64(3)), np.concatenate([[0], np.cumsum(held)])
+    return mix(key[take] + U64(3)), np.concatenate([[0], np.cumsum(held)])
 
 
 def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,22 +243,46 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _document_sets(docs: DataFrame, k: int, num: int, den: int, full: bool) -> DataFrame:
-    """(id, s, n) by row, with signatures if full."""
+def _signed(column: pa.Array, k: int, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(sets' hashes, sizes, signatures, offsets, shared signatures needed to link) of texts."""
+    key, first = shingle_sets(column, k)
+    size = np.diff(first)
+    if 100 * num < PARTS_FROM * den:
+        return (set_hashes(key, first), size, *firsts(key, first, num, den), first_shared(size, num, den)[1])
+    return (set_hashes(key, first), size, *signatures(key, first, num, den), np.ones(len(size), np.int64))
+
+
+def _shared_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig) of the signatures that two different sets have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            s, _, sig, at, _ = _signed(batch.column("text"), k, num, den)
+            own = np.repeat(s, np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(as_long(own))], ["sig", "s"])
+
+    return docs.select("text").mapInArrow(run, "sig long, s long").groupBy("sig").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("sig")
+
+
+def _document_sets(docs: DataFrame, k: int, num: int, den: int, shared: DataFrame) -> DataFrame:
+    """(id, s, n, sigs) by row; sigs: the signatures that other sets may have too, if they are enough to link."""
     kind = docs.schema["id"].dataType.simpleString()
-    level = docs.sparkSession.sparkContext.broadcast(zlib.compress(shingle_levels(docs, k).tobytes())) if full and 100 * num < PARTS_FROM * den else None
+    sent = sieve_table(shared, F.col("sig"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels_ = np.frombuffer(zlib.decompress(level.value), np.uint8) if level else None
+        table = unpacked(sent)
         for batch in text_slices(batches):
-            key, first = shingle_sets(batch.column("text"), k)
-            columns = [batch.column("id"), pa.array(as_long(set_hashes(key, first))), pa.array(np.diff(first))]
-            if full:
-                sig, at = rarest(key, first, num, den, levels_) if level else signatures(key, first, num, den)
-                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_long(sig))))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "s", "n", "sigs"][: len(columns)])
+            s, size, sig, at, need = _signed(batch.column("text"), k, num, den)
+            held = np.diff(at)
+            doc = np.repeat(np.arange(len(size)), held)
+            hit = sifted(table, (sig & U64(SIEVE_BITS - 1)).astype(np.int64))
+            enough = np.bincount(doc[hit], minlength=len(size)) >= need
+            keep = hit & enough[doc]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(size)))]).astype(np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(sig[keep])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(as_long(s)), pa.array(size), sigs], ["id", "s", "n", "sigs"])
 
-    return docs.mapInArrow(run, f"id {kind}, s long, n long" + ", sigs array<long>" * full)
+    return docs.mapInArrow(run, f"id {kind}, s long, n long, sigs array<long>")
 
 
 def _tokens(rows: DataFrame, k: int) -> DataFrame:
@@ -338,18 +344,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     and n_links the number of documents that a document links to. Null and empty texts have
     no shingles and link with nothing; rows of one id and one set are copies, and rows of one id with
     different sets stay rows of their own; a null id never is a component_id but may be reached through. Other columns
-    are not read. Sets are told apart by 64-bit hashes. Shuffles: signatures (about
-    2 (den - num) / den a shingle), and the texts that share one, to meet their partitions.
+    are not read. Sets are told apart by 64-bit hashes. Shuffles: signatures (up to
+    2 (den - num) / den a shingle), and the texts that share enough, to meet their partitions.
     """
     if not 0 < num < den:
         raise ValueError("the threshold is num / den, between 0 and 1")
     prepared(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    classes = _document_sets(rows, k, num, den, True).filter("n > 0").groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
-    classes = saved(classes)
+    own = saved(_document_sets(rows, k, num, den, saved(_shared_signatures(rows, k, num, den))))
+    classes = saved(own.filter("n > 0").groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sigs").alias("sigs")))
     sigs = classes.select("s", F.explode("sigs").alias("sig"))
-    shared = saved(sigs.groupBy("sig").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("sig", "a"))
-    near = sigs.filter(sieve(shared, "sig")(F.col("sig"))).join(shared, "sig").filter("a <> s").select("a", F.col("s").alias("b"))
+    least = sigs.groupBy("sig").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("sig", "a")
+    near = sigs.join(least, "sig").filter("a <> s").select("a", F.col("s").alias("b"))
     parts = components(near).withColumnsRenamed({"node": "s", "root": "part"})
     held = saved(classes.drop("sigs").join(parts, "s"))
     blocks = held.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
@@ -364,6 +370,5 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     least = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
     degree = found.filter("a = b").groupBy(F.col("a").alias("s")).agg(F.sum("linked").alias("linked"))
     by_set = grouped.join(least, "group").join(degree, "s", "left").select("s", "component_id", (F.col("members") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    own = _document_sets(rows, k, num, den, False)
-    out = own.join(by_set, "s", "left")
+    out = own.select("id", "s", "n").join(by_set, "s", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

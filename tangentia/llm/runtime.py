@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,25 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(begin)
 
 
+def sieve_table(keys: DataFrame, place: Column) -> Broadcast:
+    """A broadcast table of SIEVE_BITS bits, compressed, with those at the keys' places set; see sifted()."""
+    at = keys.select(F.pmod(place, F.lit(SIEVE_BITS)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(SIEVE_BITS // 32, np.uint32)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return keys.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+
+def unpacked(sent: Broadcast) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent.value), np.uint32)
+
+
+def sifted(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    return (table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
 def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     """A function of a column: false only for values that are not in keys[column].
 
@@ -59,20 +79,13 @@ def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     keys, the more other values pass, and what passes must still be joined. It spares most rows the
     shuffle to a join that few of them meet.
     """
-    spark = keys.sparkSession
-    at = keys.select(F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))).alias("bits"))
-    got = words.toArrow()
-    table = np.zeros(SIEVE_BITS // 32, np.uint32)
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    sent = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    sent = sieve_table(keys, F.xxhash64(column))
 
     @F.pandas_udf("boolean")
     def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = np.frombuffer(zlib.decompress(sent.value), np.uint32)
+        own = unpacked(sent)
         for at in batches:
-            at = at.to_numpy()
-            yield pd.Series((own[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+            yield pd.Series(sifted(own, at.to_numpy()))
 
     return lambda c: passes(F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)))
 
