@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zlib
@@ -39,9 +40,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _released() -> None:
+    """Give freed memory back to the system, where the C library can; workers are many and long-lived."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about `most` bytes of text, or one row."""
     for batch in batches:
+        _released()
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         begin = total = 0
         for i, n in enumerate(sizes):

@@ -34,7 +34,9 @@ DISCOUNT = 0.75
 FLOOR = 2.0
 #: Features, and the width and the largest value of the bins in which they are counted to fit the curve.
 FEATURES = {"best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0), "size": (0.5, 20.0)}
-SLICE = 3 << 20
+SLICE = 1 << 20
+#: Grams that a worker holds to sum them before they leave.
+HELD = 600_000
 #: Steps of a doubling in the tables that are sent.
 LOG_STEPS = 1024
 
@@ -72,6 +74,16 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """(toxic, gram, n) over rows of (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {0: [], 1: []}
+
+        def merged(c: int) -> list:
+            keys, inverse = np.unique(np.concatenate([k for k, _ in held[c]]), return_inverse=True)
+            return [(keys, np.bincount(inverse, np.concatenate([n for _, n in held[c]])).astype(np.int64))]
+
+        def given(c: int) -> pa.RecordBatch:
+            (keys, n), held[c] = held[c][0], []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), pa.array(n)], ["toxic", "gram", "n"])
+
         for batch in text_slices(batches, "text", SLICE):
             few, which, words = distinct_words(batch.column("text"))
             label = batch.column("toxic").to_numpy(zero_copy_only=False)[words.doc] if len(words) else np.empty(0, np.int64)
@@ -79,9 +91,15 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for c in (0, 1):
                 times = np.bincount(which[label == c], minlength=len(few))[word]
                 used = times > 0
-                keys, inverse = np.unique(gram[used], return_inverse=True)
-                n = np.bincount(inverse, times[used]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), pa.array(n)], ["toxic", "gram", "n"])
+                held[c].append((gram[used], times[used]))
+                if sum(len(k) for k, _ in held[c]) > HELD:
+                    held[c] = merged(c)
+                    if len(held[c][0][0]) > HELD // 2:
+                        yield given(c)
+        for c in (0, 1):
+            if held[c]:
+                held[c] = merged(c)
+                yield given(c)
 
     return rows.mapInArrow(run, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
 
