@@ -36,7 +36,7 @@ _SMALL = math.sqrt(ULP)
 def _filled(s: np.ndarray, full, series) -> np.ndarray:
     s = np.asarray(s, float)
     small = s <= _SMALL
-    return np.where(small, series(s), full(np.sqrt(np.where(small, 1.0, s))))
+    return np.where(small, series(s), full(np.sqrt(np.where(small, 0.25, s))))
 
 
 def cos_of(s):

@@ -1 +1 @@
-
+"""Operators over tables of manifold-valued rows."""

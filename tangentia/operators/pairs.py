@@ -48,8 +48,8 @@ def distances(geometry: Geometry, x: np.ndarray, y: np.ndarray, squared: bool =
 
 def _sides(left: DataFrame, right: DataFrame, lid: str, rid: str, point: str, other: str, block: int) -> tuple[DataFrame, DataFrame]:
     n, m = (max(1, math.ceil(df.count() / block)) for df in (left, right))
-    a = left.select(F.col(lid).alias("i"), F.col(point).alias("x"), F.pmod(F.xxhash64(lid), F.lit(n)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("b"))
-    b = right.select(F.col(rid).alias("j"), F.col(other).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("a"), F.pmod(F.xxhash64(rid), F.lit(m)).alias("b"))
+    a = left.select(F.col(lid).alias("i"), F.col(point).alias("x"), F.pmod(F.xxhash64(lid), F.lit(n)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("b"))
+    b = right.select(F.col(rid).alias("j"), F.col(other).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64(rid), F.lit(m)).alias("b"))
     return a, b
 
 
