@@ -6,8 +6,9 @@ threshold; so of more than D parts, into which a hash deals all shingles, one is
 both. Where the threshold is so low that parts would hold few shingles, sets are told by
 their first shingles in the order of their hashes instead: by so many that two sets that
 link share several of them, and a set that doesn't share so many with others can't link.
-What is equal gathers classes that may link into partitions of similar sets, cut by
-number of shingles where a partition is large; nothing outside a partition can link.
+What is equal gathers classes that may link into partitions of similar sets of similar
+size, cut by number of shingles where a partition is large. A pair is decided in the
+partitions of the larger set's size; nothing outside a partition can link.
 
 Within a partition the token-group matrix decides: similar sets form groups, each with
 the union of its shingles (a row of the matrix, with a column for each shingle that two
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,11 @@ from tangentia.llm.words import U64, Words, as_long, lowered, mix, split_words,
 GROUP = 32
 #: Shingles of one block of a partition; two blocks meet in one task.
 BLOCK = 1_000_000
-#: Sizes of a level grow by this factor.
-GROWTH = 1.25
-#: Shingles that linked sets share at least among their first ones, as a part of their size.
-SHARED = 0.06
+#: Sizes of a level of signatures, and of a level of partitions, grow by these factors.
+GROWTH, SPREAD = 1.25, 1.4
+#: Shingles that linked sets share at least among their first ones, as a part of their
+#: size; a round each, over what the one before left. In the last all shingles count.
+ROUNDS = (0.06, 0.3, 1.0)
 #: From this similarity on, in percent, parts hold enough shingles.
 PARTS_FROM = 88
 
@@ -134,22 +137,24 @@ def signatures(key: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[
     return sig[order], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))])
 
 
-def first_shared(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def first_shared(size: np.ndarray, num: int, den: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """(first shingles of a set, shared ones among them that a set needs to link), by size.
 
     If two sets link, each lacks at most size - ceil(num / den * size) of its shingles in the
     other; with l more first shingles than these on both sides, l first ones at least are
     common. l grows with the size, and the other set may be the smaller by num / den.
     """
-    lacks = size - -(-size * num // den)
-    more = lambda n: np.maximum(np.ceil(SHARED * n), 1).astype(np.int64)
-    return np.where(size * (den - num) >= num, np.minimum(size, lacks + more(size)), 0), more(-(-size * num // den))
+    held = -(-size * num // den)
+    if share >= 1:
+        return np.where(size * (den - num) >= num, size, 0), held
+    more = lambda n: np.maximum(np.ceil(share * n), 1).astype(np.int64)
+    return np.where(size * (den - num) >= num, np.minimum(size, size - held + more(size)), 0), more(held)
 
 
-def firsts(key: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def firsts(key: np.ndarray, first: np.ndarray, num: int, den: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the first shingles, offsets) of sets whose shingles are in order."""
     size = np.diff(first)
-    held, _ = first_shared(size, num, den)
+    held, _ = first_shared(size, num, den, share)
     take = np.arange(len(key)) - np.repeat(first[:-1], size) < np.repeat(held, size)
     return mix(key[take] + U64(3)), np.concatenate([[0], np.cumsum(held)])
 
@@ -243,36 +248,51 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _signed(column: pa.Array, k: int, num: int, den: int) -> tuple[np.ndarray, ...]:
+def size_level(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 1)) / math.log(SPREAD) + 1e-9).astype(np.int32)
+
+
+def _signed(column: pa.Array, k: int, num: int, den: int, share: float) -> tuple[np.ndarray, ...]:
     """(sets' hashes, sizes, signatures, offsets, shared signatures needed to link) of texts."""
     key, first = shingle_sets(column, k)
     size = np.diff(first)
     if 100 * num < PARTS_FROM * den:
-        return (set_hashes(key, first), size, *firsts(key, first, num, den), first_shared(size, num, den)[1])
+        return (set_hashes(key, first), size, *firsts(key, first, num, den, share), first_shared(size, num, den, share)[1])
     return (set_hashes(key, first), size, *signatures(key, first, num, den), np.ones(len(size), np.int64))
 
 
-def _shared_signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig) of the signatures that two different sets have."""
+def _only(batch: pa.RecordBatch, table: np.ndarray | None) -> pa.RecordBatch:
+    """The rows whose id may be in a sieve's table."""
+    return batch if table is None else batch.take(pa.array(np.flatnonzero(sifted(table, batch.column("at").to_numpy()))))
+
+
+def _shared_signatures(docs: DataFrame, k: int, num: int, den: int, share: float, only: Broadcast | None) -> DataFrame:
+    """(sig) of the signatures that two different sets have, of the documents in a sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = unpacked(only) if only else None
         for batch in text_slices(batches):
-            s, _, sig, at, _ = _signed(batch.column("text"), k, num, den)
+            s, _, sig, at, _ = _signed(_only(batch, table).column("text"), k, num, den, share)
             own = np.repeat(s, np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(as_long(own))], ["sig", "s"])
 
-    return docs.select("text").mapInArrow(run, "sig long, s long").groupBy("sig").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("sig")
+    return docs.select("at", "text").mapInArrow(run, "sig long, s long").groupBy("sig").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("sig")
+
 
+def _document_sets(docs: DataFrame, k: int, num: int, den: int, share: float, shared: DataFrame, only: Broadcast | None) -> DataFrame:
+    """(id, s, n, own, top, sigs) by row in a sieve.
 
-def _document_sets(docs: DataFrame, k: int, num: int, den: int, shared: DataFrame) -> DataFrame:
-    """(id, s, n, sigs) by row; sigs: the signatures that other sets may have too, if they are enough to link."""
+    own, top: the levels of its size and of the largest set that it can link to; sigs: the
+    signatures that other sets may have too, if they are enough to link.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     sent = sieve_table(shared, F.col("sig"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = unpacked(sent)
+        table, own = unpacked(sent), unpacked(only) if only else None
         for batch in text_slices(batches):
-            s, size, sig, at, need = _signed(batch.column("text"), k, num, den)
+            batch = _only(batch, own)
+            s, size, sig, at, need = _signed(batch.column("text"), k, num, den, share)
             held = np.diff(at)
             doc = np.repeat(np.arange(len(size)), held)
             hit = sifted(table, (sig & U64(SIEVE_BITS - 1)).astype(np.int64))
@@ -280,13 +300,24 @@ def _document_sets(docs: DataFrame, k: int, num: int, den: int, shared: DataFram
             keep = hit & enough[doc]
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(size)))]).astype(np.int32)
             sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(sig[keep])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(as_long(s)), pa.array(size), sigs], ["id", "s", "n", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(as_long(s)), pa.array(size), pa.array(size_level(size)), pa.array(size_level(size * den // num)), sigs], ["id", "s", "n", "own", "top", "sigs"])
+
+    return docs.mapInArrow(run, f"id {kind}, s long, n long, own int, top int, sigs array<long>")
 
-    return docs.mapInArrow(run, f"id {kind}, s long, n long, sigs array<long>")
+
+def _narrowed(docs: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(s) of the sets that the later rounds leave."""
+    left = own.filter(F.size("sigs") > 0).select("id", "s")
+    for share in ROUNDS[1:]:
+        only = sieve_table(left, F.xxhash64("id"))
+        shared = saved(_shared_signatures(docs, k, num, den, share, only))
+        left = saved(_document_sets(docs, k, num, den, share, shared, only).filter(F.size("sigs") > 0).select("id", "s"))
+    return left.select("s").distinct()
 
 
 def _tokens(rows: DataFrame, k: int) -> DataFrame:
-    """(part, blocks, s, members, tokens) of the rows (text, part, blocks, s, members) whose text has the set s."""
+    """The rows of (text, s, and more) whose text has the set s, with its shingles as tokens for the text."""
+    more = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -294,9 +325,9 @@ def _tokens(rows: DataFrame, k: int) -> DataFrame:
             own = np.flatnonzero(as_long(set_hashes(key, first)) == batch.column("s").to_numpy())
             take = pa.array(own)
             tokens = pa.array([key[first[i] : first[i + 1]].tobytes() for i in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("part", "blocks", "s", "members")), tokens], ["part", "blocks", "s", "members", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in more), tokens], [*more, "tokens"])
 
-    return rows.mapInArrow(run, "part long, blocks int, s long, members long, tokens binary")
+    return rows.mapInArrow(run, f"{rows.select(more)._jdf.schema().toDDL()}, tokens binary")
 
 
 def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -304,12 +335,16 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def task(group: list[tuple]) -> Iterator[tuple]:
         seen = {}
-        for s, block, members, tokens in group:
-            seen[s] = (block, members, tokens)
+        for s, block, members, tokens, own, level in group:
+            seen[s] = (block, members, tokens, own, level)
         s = list(seen)
         block = np.array([seen[x][0] for x in s])
         members = np.array([seen[x][1] for x in s])
         i, j = links([np.frombuffer(seen[x][2], U64) for x in s], (block != block[0]).astype(np.int64) if len(s) else block, num, den)
+        if len(i):
+            own, level = np.array([seen[x][3] for x in s]), seen[s[0]][4]
+            here = np.maximum(own[i], own[j]) == level
+            i, j = i[here], j[here]
         for a, b in spanning(i, j, len(s)):
             yield s[a], s[b], 0
         degree = np.bincount(i, members[j], len(s)) + np.bincount(j, members[i], len(s)) if len(i) else np.zeros(len(s))
@@ -322,12 +357,12 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         last, group, found = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "low", "high", "s", "block", "members", "tokens")]
-            for part, low, high, s, block, members, tokens in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("part", "low", "high", "s", "block", "members", "tokens", "own", "level")]
+            for part, low, high, *row in zip(*columns):
                 if (part, low, high) != last:
                     found += task(group)
                     last, group = (part, low, high), []
-                group.append((s, block, members, tokens))
+                group.append(tuple(row))
             if len(found) > 10_000:
                 yield emitted(found)
                 found = []
@@ -350,20 +385,25 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     if not 0 < num < den:
         raise ValueError("the threshold is num / den, between 0 and 1")
     prepared(docs.sparkSession)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    own = saved(_document_sets(rows, k, num, den, saved(_shared_signatures(rows, k, num, den))))
-    classes = saved(own.filter("n > 0").groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sigs").alias("sigs")))
-    sigs = classes.select("s", F.explode("sigs").alias("sig"))
-    least = sigs.groupBy("sig").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a < z").select("sig", "a")
-    near = sigs.join(least, "sig").filter("a <> s").select("a", F.col("s").alias("b"))
-    parts = components(near).withColumnsRenamed({"node": "s", "root": "part"})
-    held = saved(classes.drop("sigs").join(parts, "s"))
+    rows = docs.select(docs[id_col].alias("id"), F.pmod(F.xxhash64(docs[id_col]), F.lit(SIEVE_BITS)).alias("at"), docs[text_col].alias("text"))
+    shared = saved(_shared_signatures(rows, k, num, den, ROUNDS[0], None))
+    own = saved(_document_sets(rows, k, num, den, ROUNDS[0], shared, None))
+    classes = saved(own.filter("n > 0").groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("n", "own", "top", "sigs")]))
+    near = classes.filter(F.size("sigs") > 0)
+    if 100 * num < PARTS_FROM * den:
+        near = near.join(_narrowed(rows, own, k, num, den), "s", "left_semi")
+    near = saved(near.withColumn("level", F.explode(F.sequence("own", "top"))).withColumn("node", F.xxhash64("s", "level")))
+    sigs = near.select("node", F.explode("sigs").alias("sig"), "level")
+    least = sigs.groupBy("sig", "level").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
+    edges = sigs.join(least, ["sig", "level"]).filter("a <> node").select("a", F.col("node").alias("b"))
+    parts = components(edges).withColumnsRenamed({"root": "part"})
+    held = saved(near.drop("sigs", "top").join(parts, "node"))
     blocks = held.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    held = saved(held.join(blocks, "part").select("rep", "s", "members", "part", "blocks"))
-    tokens = _tokens(rows.filter(sieve(held, "rep")(F.col("id"))).join(held, rows["id"] == held["rep"]).select("text", "part", "blocks", "s", "members"), k)
+    held = saved(held.join(blocks, "part").select("rep", "s", "members", "part", "blocks", "own", "level"))
+    tokens = _tokens(rows.drop("at").filter(sieve(held, "rep")(F.col("id"))).join(held, rows["id"] == held["rep"]).drop("id", "rep"), k)
     block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
     met = tokens.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "s", "block", "members", "tokens")
+    met = met.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "s", "block", "members", "tokens", "own", "level")
     found = saved(_linked(met.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high"), num, den))
     roots = components(found.filter("a <> b").select("a", "b")).withColumnsRenamed({"node": "s", "root": "group"})
     grouped = classes.select("s", "rep", "members").join(roots, "s", "left").withColumn("group", F.coalesce("group", "s"))
