@@ -116,7 +116,8 @@ class Kernels:
             if live.any():
                 given = [np.stack(c[live].to_numpy()).astype(float).reshape(-1, *geometry.shape) if i < n else c[live].to_numpy(float) for i, c in enumerate(columns)]
                 got = getattr(geometry, op)(*given)
-                out[live] = list(got.reshape(len(got), -1)) if returns == POINT else list(got)
+                for i, value in zip(np.flatnonzero(live), got.reshape(len(got), -1) if returns == POINT else got):
+                    out[i] = value
             return pd.Series(out, dtype=object)
 
         return run(*map(col, args))

@@ -61,7 +61,8 @@ def _kernel(f: Callable[[np.ndarray], np.ndarray], c: Column) -> Column:
         out = np.full(len(s), None, object)
         if live.any():
             got = f(np.stack(s[live].to_numpy()).astype(float))
-            out[live] = list(got.reshape(len(got), -1))
+            for i, value in zip(np.flatnonzero(live), got.reshape(len(got), -1)):
+                out[i] = value
         return pd.Series(out, dtype=object)
 
     return run(c)

@@ -15,18 +15,12 @@ from tangentia.functions import Geometry
 from tangentia.operators.local import CAP, gathered, local_points
 from tangentia.operators.location import frechet_mean, frechet_means, hash_uniform
 from tangentia.operators.pairs import distances, nearest_neighbors, pairwise_distances, stacked
-from tangentia.session import reachable
+from tangentia.session import appended, reachable
 
 
 def _applied(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], point: str, geometry: Geometry, returns: str, out: str) -> DataFrame:
     """df with a column of f over batches of points; what f holds is broadcast in its closure."""
-    reachable(df.sparkSession)
-
-    @F.pandas_udf(returns)
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(f(stacked(geometry, s)))) if len(s) else pd.Series([], dtype=object)
-
-    return df.withColumn(out, run(F.col(point)))
+    return appended(df, lambda b: {out: list(f(stacked(geometry, b[point]))) if len(b) else []}, f"{out} {returns}")
 
 
 def _predicted(df: DataFrame, classes: list) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,3 +26,21 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tangentia-checkpoint-"))
     return df.checkpoint()
+
+
+def appended(df: DataFrame, f, fields: str) -> DataFrame:
+    """df with further columns, which f makes of a pandas frame of each batch; metadata of the others stays.
+
+    A pass of its own, so that expressions of df are evaluated before it and not within it.
+    """
+    reachable(df.sparkSession)
+    names = [x.strip().split(" ")[0] for x in fields.split(";")]
+    base = df.drop(*names)
+    schema = f"{base._jdf.schema().toDDL()}, {fields.replace(';', ',')}"
+
+    def run(parts):
+        for b in parts:
+            yield b.assign(**f(b))[[*b.columns, *names]]
+
+    out = base.mapInPandas(run, schema)
+    return out.select(*[F.col(c.name).alias(c.name, metadata=c.metadata) if c.metadata else F.col(c.name) for c in base.schema], *names)
