@@ -53,7 +53,8 @@ MARKS = frozenset(
 )
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+#: What ends elements whose content isn't read.
+_CLOSE = {x: re.compile(f"</{x}[^>]*>", re.I) for x in "script style textarea title noscript iframe template svg math".split()}
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -94,14 +95,11 @@ def page_blocks(page: str) -> list[tuple[str, str, str, bool]]:
     def pop_to(i: int) -> None:
         del stack[i:]
 
-    skip = ""
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         token, end, start = m[0], m[1], m[2]
-        if skip:
-            if not (end and end.lower() == skip):
-                continue
-            skip = ""
-            continue
         if end:
             tag = end.lower()
             if tag in VOID:
@@ -136,14 +134,14 @@ def page_blocks(page: str) -> list[tuple[str, str, str, bool]]:
                             break
                 if tag in SIBLINGS:
                     ends, stop = SIBLINGS[tag]
-                    at = None
+                    low = None
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] in stop:
                             break
                         if stack[i][0] in ends:
-                            at = i
-                    if at is not None:
-                        pop_to(at)
+                            low = i
+                    if low is not None:
+                        pop_to(low)
                 elif tag == "body":
                     pop_to(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
             if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "math", "path"):
@@ -159,9 +157,10 @@ def page_blocks(page: str) -> list[tuple[str, str, str, bool]]:
                 names = ".".join(sorted(set(_DIGITS.sub("0", attrs.get("class", "")).split())))
                 path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
             stack.append((tag, path, gone, inside, plain))
-            if tag in _RAW:
-                skip = tag
+            if tag in _CLOSE:
                 stack.pop()
+                closed = _CLOSE[tag].search(page, at)
+                at = closed.end() if closed else len(page)
         elif token[0] != "<" or len(token) == 1:
             parts.append(token)
     flush()
