@@ -47,12 +47,12 @@ def scale(a: Column, s: Column | float) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    """Kept between two numbers; NaN stays NaN."""
-    return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    """Kept between two numbers; NaN stays NaN, and null null."""
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def sqrt0(x: Column) -> Column:
-    return F.sqrt(F.when(F.isnan(x), x).otherwise(F.greatest(x, F.lit(0.0))))
+    return F.sqrt(F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(x, F.lit(0.0))))
 
 
 def wrap(a: Column) -> Column:
@@ -272,7 +272,12 @@ class SimplexColumns(Native):
         return self.tangent_project(x, let(self._roots(x), lambda a: let(self._roots(y), lambda b: body(a, b))))
 
     def exp(self, x, u):
-        return self.call("exp", x, u)
+        def body(r, s):
+            z = F.zip_with(F.zip_with(col(u), r, lambda a, b: a / (2 * b)), r, lambda v, p: cos_of(s) * p + sinc_of(s) * v)
+            square = lambda z: let(dot(z, z), lambda t: F.transform(z, lambda v: v * v / t))
+            return let(z, lambda z: F.when(F.exists(z, lambda v: v <= 0), F.transform(z, lambda v: F.lit(float("nan")))).otherwise(square(z)))
+
+        return let(self._roots(col(x)), lambda r: let(0.25 * self.inner(x, u, u), lambda s: body(r, s)))
 
     def retr(self, x, u, step=1.0):
         return self.project(add(col(x), col(u), step))
@@ -339,7 +344,7 @@ class HyperboloidColumns(Native):
         return self.lorentz(u, v)
 
     def _alpha(self, x, y):
-        return F.greatest(-self.lorentz(x, y), F.lit(1.0))
+        return clip(-self.lorentz(x, y), 1.0, float("inf"))
 
     def dist(self, x, y):
         return F.acosh(self._alpha(x, y))
@@ -386,13 +391,17 @@ def columns(geometry: Geometry) -> Kernels:
     return _NATIVE.get(geometry.name, Kernels)(geometry)
 
 
-def register_sql(spark, geometry: Geometry, prefix: str) -> None:
-    """The kernels as SQL functions: prefix_dist(x, y), prefix_exp(x, u) and so on."""
-    for op, returns in (("dist", "double"), ("squared_dist", "double"), ("exp", POINT), ("log", POINT), ("project", POINT), ("belongs", "boolean"), ("pair_mean", POINT)):
+def _sql_function(geometry: Geometry, op: str, returns: str):
+    @F.pandas_udf(returns)
+    def run(*c: pd.Series) -> pd.Series:
+        got = getattr(geometry, op)(*(np.stack(x.to_numpy()).astype(float).reshape(-1, *geometry.shape) for x in c))
+        return pd.Series(list(got.reshape(len(got), -1)) if returns == POINT else got)
 
-        @F.pandas_udf(returns)
-        def run(*c: pd.Series, op=op, returns=returns) -> pd.Series:
-            got = getattr(geometry, op)(*(np.stack(x.to_numpy()).astype(float).reshape(-1, *geometry.shape) for x in c))
-            return pd.Series(list(got.reshape(len(got), -1)) if returns == POINT else got)
+    return run
 
-        spark.udf.register(f"{prefix}_{op}", run)
+
+def register_sql(spark, geometry: Geometry, prefix: str) -> None:
+    """The kernels as SQL functions over points that aren't null: prefix_dist(x, y), prefix_exp(x, u) and so on."""
+    reachable(spark)
+    for op, returns in (("dist", "double"), ("squared_dist", "double"), ("exp", POINT), ("log", POINT), ("project", POINT), ("belongs", "boolean"), ("pair_mean", POINT)):
+        spark.udf.register(f"{prefix}_{op}", _sql_function(geometry, op, returns))

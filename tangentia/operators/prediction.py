@@ -134,7 +134,7 @@ def fit_tangent_feature_map(geometry: Geometry, df: DataFrame, point: str = "poi
     top = max(w[0], 1.0) if len(w) else 1.0
     keep = np.flatnonzero(w > max(rank_tolerance * top, np.finfo(float).eps * n * top))[:n_components]
     b = np.einsum("ij,i...->j...", v[:, keep], basis)
-    flat = b.reshape(len(b), -1)
+    flat = b.reshape(len(b), geometry.length)
     sign = np.sign(flat[np.arange(len(b)), np.abs(flat).argmax(1)]) if len(b) else np.ones(0)
     return TangentFeatures(geometry, base, b * sign.reshape((-1,) + (1,) * geometry.axes), w[keep])
 
