@@ -52,6 +52,31 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+WORDS = "[^\\x20\\x09-\\x0D]+"
+
+OP4_SQL = f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+    s AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+    o AS (SELECT k, min(doc_id) AS m FROM s GROUP BY k),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN o USING (k) WHERE m < doc_id),
+    x AS (SELECT doc_id, unnest(ws) AS v, generate_subscripts(ws, 1) AS p FROM w),
+    n AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY 1),
+    t AS (SELECT doc_id, string_agg(v, ' ' ORDER BY p) AS kept FROM x ANTI JOIN g USING (doc_id, p) GROUP BY 1)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+OP9_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+    h AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM h x JOIN h y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 90 * (u.n + v.n - c)),
+    r(doc_id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.o FROM r JOIN l ON l.a = r.doc_id),
+    d AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o) AS component_id, coalesce(any_value(n_links), 0) AS n_links
+    FROM r LEFT JOIN n USING (doc_id) LEFT JOIN d USING (doc_id) GROUP BY doc_id"""
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tangentia.llm.html_extract import extract_text
 
@@ -154,4 +179,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {"op6_url_filter": op6_sql(), "op7_chat_format": op7_sql()}
+ORACLE: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op6_url_filter": op6_sql(), "op7_chat_format": op7_sql()}

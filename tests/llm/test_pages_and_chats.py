@@ -99,7 +99,7 @@ def test_queries_match_their_sql(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in ORACLE.items():
         a = QUERIES[name](spark, sf).toPandas()
