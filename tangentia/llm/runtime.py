@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once; longer single texts pass alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits of a sieve, whatever the number of keys; 8 MB before compression.
 SIEVE_BITS = 1 << 26
 
