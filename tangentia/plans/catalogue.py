@@ -607,3 +607,10 @@ def random_rotations(spark, sf):
     from tangentia.functions import SpecialOrthogonal
 
     return random_points(spark, SpecialOrthogonal(3), 100, seed=11)
+
+
+@query()
+def solver_scenarios(spark, sf):
+    from tangentia.plans.scenarios import runs
+
+    return runs(spark).drop("seconds")
