@@ -20,12 +20,14 @@ from tangentia.functions import Geometry
 from tangentia.functions.columns import columns
 from tangentia.operators.data import bound
 from tangentia.operators.pairs import distances, stacked
-from tangentia.session import reachable
+from tangentia.session import reachable, summed_arrays
 
 #: Groups whose points the driver may hold.
 MOST_GROUPS = 100_000
 #: Rows that start an iteration where no point is given; the medoid of these.
 START_ROWS = 256
+#: Arrays of more entries are summed by position, not by one expression an entry.
+WIDE = 16
 #: Tuning constants of the M-estimators and the scale of the median of residuals.
 TUNING = {"huber": 1.345, "cauchy": 2.385, "tukey": 4.685}
 MAD = 0.67448975
@@ -66,7 +68,7 @@ def normalized_weights(df: DataFrame, weight: str | None) -> DataFrame:
 
 
 def moments(geometry: Geometry, df: DataFrame, bases: dict, point: str, group: str | None, factor: Callable[[np.ndarray], np.ndarray] | None = None, rho: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
-    """By group: (sum of f w log, sum of f w, sum of w rho, largest distance) at the group's base.
+    """By group: (sum of f w log, sum of f w, sum of w rho) at the group's base.
 
     f = factor(distances), 1 by default; rho = squared distances by default. df has `_w`.
     """
@@ -90,13 +92,16 @@ def moments(geometry: Geometry, df: DataFrame, bases: dict, point: str, group: s
                 f = w if factor is None else w * factor(d)
                 live = f > 0
                 u = np.where(live.reshape((-1,) + (1,) * geometry.axes), u, 0)
-                rows.append((g, (u.reshape(len(x), -1) * f[:, None]).sum(0), f.sum(), float((w * (d2 if rho is None else rho(d))).sum()), float(d.max())))
+                rows.append((g, (u.reshape(len(x), -1) * f[:, None]).sum(0), f.sum(), float((w * (d2 if rho is None else rho(d))).sum())))
             if rows:
-                yield pd.DataFrame(rows, columns=["g", "u", "f", "c", "far"])
+                yield pd.DataFrame(rows, columns=["g", "u", "f", "c"])
 
-    parts = df.select(key.alias("g"), F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0").mapInPandas(run, f"g {kind}, u array<double>, f double, c double, far double")
-    sums = parts.groupBy("g").agg(F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(n)]).alias("u"), F.sum("f").alias("f"), F.sum("c").alias("c"), F.max("far").alias("far"))
-    return {r["g"]: (np.array(r["u"], float).reshape(geometry.shape), r["f"], r["c"], r["far"]) for r in sums.collect()}
+    parts = df.select(key.alias("g"), F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0").mapInPandas(run, f"g {kind}, u array<double>, f double, c double")
+    if n > WIDE:
+        got = summed_arrays(parts.select("g", F.concat("u", F.array("f", "c")).alias("s")), "g", "s")
+        return {g: (s[:n].reshape(geometry.shape), s[n], s[n + 1]) for g, s in got.items()}
+    sums = parts.groupBy("g").agg(F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(n)]).alias("u"), F.sum("f").alias("f"), F.sum("c").alias("c"))
+    return {r["g"]: (np.array(r["u"], float).reshape(geometry.shape), r["f"], r["c"]) for r in sums.collect()}
 
 
 def start_points(geometry: Geometry, df: DataFrame, point: str, group: str | None, power: int = 2) -> dict:
@@ -135,8 +140,8 @@ def _chart_mean(geometry: Geometry, df: DataFrame, point: str, group: str | None
 def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, maxiter: int = 200, tol: float = 1e-7) -> dict[object, Location]:
     """By group (0 without one): argmin of the weighted squared distances.
 
-    A fixed-point iteration exp(mean log), halved where it doesn't descend. tol is raised to the
-    root of the machine precision. Groups number MOST_GROUPS at most.
+    Steps along the mean logarithm, of a length by Barzilai and Borwein's rule, halved where the
+    cost doesn't fall. tol is raised to the root of the machine precision. Groups number MOST_GROUPS at most.
     """
     geometry.require("exp", "log", "dist")
     bound(df, point, geometry)
@@ -144,7 +149,7 @@ def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group
     closed = _chart_mean(geometry, df, point, group) if initial is None else None
     if closed is not None:
         m = moments(geometry, df, closed, point, group)
-        return {g: Location(p, m[g][2] / m[g][1], 0, True, "closed form", _norm(geometry, p, m[g][0] / m[g][1])) for g, p in closed.items()}
+        return {g: Location(p, float(m[g][2] / m[g][1]), 0, True, "closed form", _norm(geometry, p, m[g][0] / m[g][1])) for g, p in closed.items()}
     tol = max(tol, math.sqrt(np.finfo(float).eps))
     at = {g: geometry.project(np.asarray(p, float)[None])[0] for g, p in initial.items()} if initial else start_points(geometry, df, point, group)
     out, step, last = {}, dict.fromkeys(at, 1.0), {}
@@ -152,8 +157,8 @@ def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group
         live = {g: p for g, p in at.items() if g not in out}
         if not live:
             break
-        for g, (u, f, c, _) in moments(geometry, df, live, point, group).items():
-            u, c = u / f, c / f
+        for g, (u, f, c) in moments(geometry, df, live, point, group).items():
+            u, c = u / f, float(c / f)
             size = _norm(geometry, at[g], u)
             if g in last and c > last[g][1] * (1 + 1e-12) + 1e-300:
                 step[g] *= 0.5
@@ -168,6 +173,8 @@ def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group
                 out[g] = Location(at[g], c, it, False, "iteration limit", size)
                 continue
             else:
+                if g in last:
+                    step[g] = _spectral_step(geometry, last[g][0], at[g], step[g], last[g][2], u)
                 last[g] = (at[g], c, u)
             at[g] = geometry.exp(at[g][None], step[g] * u[None])[0]
     for g, p in at.items():
@@ -175,6 +182,15 @@ def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group
     return out
 
 
+def _spectral_step(geometry: Geometry, old: np.ndarray, new: np.ndarray, step: float, u: np.ndarray, v: np.ndarray) -> float:
+    """The step length that fits the change of the mean logarithm from u at old to v at new; within [0.2, 5]."""
+    moved = geometry.transport(old[None], new[None], u[None])
+    inner = lambda a, b: float(geometry.inner(new[None], a, b)[0])
+    bend = inner(moved, moved - v[None])
+    length = step * inner(moved, moved) / bend if bend > 0 else 1.0
+    return float(min(max(length, 0.2), 5.0)) if np.isfinite(length) else 1.0
+
+
 def _norm(geometry: Geometry, p: np.ndarray, u: np.ndarray) -> float:
     return float(geometry.norm(p[None], u[None])[0])
 
@@ -193,10 +209,10 @@ def frechet_medians(geometry: Geometry, df: DataFrame, point: str = "point", gro
         live = {g: p for g, p in at.items() if g not in out}
         if not live:
             break
-        for g, (u, f, c, _) in moments(geometry, df, live, point, group, lambda d: 1 / np.maximum(d, smoothing), lambda d: d).items():
+        for g, (u, f, c) in moments(geometry, df, live, point, group, lambda d: 1 / np.maximum(d, smoothing), lambda d: d).items():
             size = _norm(geometry, at[g], u / f)
             if size <= tol or it == maxiter:
-                out[g] = Location(at[g], c, it, size <= tol, "direction tolerance" if size <= tol else "iteration limit", size)
+                out[g] = Location(at[g], float(c), it, size <= tol, "direction tolerance" if size <= tol else "iteration limit", size)
             else:
                 at[g] = geometry.exp(at[g][None], (u / f)[None])[0]
     return out
@@ -273,7 +289,7 @@ def geodesic_m_estimator(geometry: Geometry, df: DataFrame, point: str = "point"
     f, rho = robust_factor(loss, scale)
     c = math.nan
     for it in range(maxiter):
-        u, mass, c, _ = moments(geometry, df, {0: at}, point, None, f, rho)[0]
+        u, mass, c = moments(geometry, df, {0: at}, point, None, f, rho)[0]
         if mass <= 0:
             return Location(at, c, it, False, "all weights vanish", diagnostics={"scale": scale})
         moved = geometry.exp(at[None], (u / mass)[None])[0]

@@ -15,7 +15,7 @@ from tangentia.functions import Geometry
 from tangentia.operators.local import CAP, gathered, local_points
 from tangentia.operators.location import frechet_mean, frechet_means, hash_uniform
 from tangentia.operators.pairs import distances, nearest_neighbors, pairwise_distances, stacked
-from tangentia.session import appended, reachable
+from tangentia.session import appended, reachable, summed_arrays
 
 
 def _applied(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], point: str, geometry: Geometry, returns: str, out: str) -> DataFrame:
@@ -121,8 +121,9 @@ def tangent_scatter(geometry: Geometry, df: DataFrame, base: np.ndarray, point:
     d = len(basis)
     rows = TangentFeatures(geometry, base, basis, np.ones(d)).transform(df.select(point), point, "f")
     sums = rows.mapInPandas(lambda parts: (pd.DataFrame({"s": [(np.stack(p["f"]).T @ np.stack(p["f"])).ravel()], "n": [len(p)]}) for p in parts if len(p)), "s array<double>, n long")
-    r = sums.agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(d * d)]).alias("s"), F.sum("n").alias("n")).first()
-    return np.array(r["s"], float).reshape(d, d), basis, r["n"]
+    # The number of rows goes along as the last entry.
+    total = summed_arrays(sums.select(F.concat("s", F.array(F.col("n").cast("double"))).alias("s")), None, "s")[0]
+    return total[:-1].reshape(d, d), basis, int(total[-1])
 
 
 def fit_tangent_feature_map(geometry: Geometry, df: DataFrame, point: str = "point", base_point=None, n_components: int | None = None, rank_tolerance: float = 1e-8) -> TangentFeatures:
@@ -157,11 +158,18 @@ def _class_moments(df: DataFrame, features: TangentFeatures, label: str, point:
     """(classes, counts, sums, second moments) of the features by class; one aggregate."""
     d = len(features.basis)
     rows = features.transform(df.select(point, label), point, "f")
-    f = lambda i: F.get("f", F.lit(i))
-    s1 = F.array(*[F.sum(f(i)) for i in range(d)]) if d else F.array().cast("array<double>")
-    s2 = F.array(*[F.sum(f(i) * f(j)) for i in range(d) for j in range(d)]) if d else F.array().cast("array<double>")
-    got = sorted(rows.groupBy(label).agg(F.count("*").alias("n"), s1.alias("a"), s2.alias("b")).collect(), key=lambda r: r[0])
-    return [r[0] for r in got], np.array([r["n"] for r in got], float), np.array([r["a"] for r in got], float).reshape(len(got), d), np.array([r["b"] for r in got], float).reshape(len(got), d, d)
+
+    def run(parts):
+        for p in parts:
+            for label_, own in p.groupby("l", sort=False):
+                z = np.stack(own["f"]).reshape(len(own), d)
+                yield pd.DataFrame({"l": [label_], "s": [np.concatenate([[len(own)], z.sum(0), (z.T @ z).ravel()])]})
+
+    kind = df.schema[label].dataType.simpleString()
+    got = summed_arrays(rows.select("f", F.col(label).alias("l")).mapInPandas(run, f"l {kind}, s array<double>"), "l", "s")
+    classes = sorted(got)
+    values = np.stack([got[c] for c in classes])
+    return classes, values[:, 0], values[:, 1 : 1 + d], values[:, 1 + d :].reshape(len(classes), d, d)
 
 
 def tangent_space_discriminant_analysis(geometry: Geometry, df: DataFrame, label: str, method: str = "lda", point: str = "point", base_point=None, n_components: int | None = None, regularization: float = 1e-4, priors: list[float] | None = None) -> TangentClassifier:

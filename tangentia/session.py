@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,13 @@ def appended(df: DataFrame, f, fields: str) -> DataFrame:
 
     out = base.mapInPandas(run, schema)
     return out.select(*[F.col(c.name).alias(c.name, metadata=c.metadata) if c.metadata else F.col(c.name) for c in base.schema], *names)
+
+
+def summed_arrays(rows: DataFrame, key: str | None, column: str) -> dict:
+    """By key (0 without one): the sums of an array column by position; partial sums are taken before the shuffle."""
+    k = F.lit(0) if key is None else F.col(key)
+    got = rows.select(k.alias("k"), F.posexplode(column).alias("at", "v")).groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
+    out: dict = {}
+    for r in got:
+        out.setdefault(r["k"], {})[r["at"]] = r["v"]
+    return {g: np.array([v[i] for i in range(len(v))], float) for g, v in out.items()}
