@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, text_slices
+from tangentia.llm.runtime import prepared, saved, text_slices
 from tangentia.llm.url_filter import url_parts
 from tangentia.llm.words import span_hashes
 
 #: Nodes on fewer pages of a host are not judged, and those below the importance go.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.35
 CONTENT_SHARE = 0.9
+#: Low nodes of all hosts that are broadcast; 8 bytes each.
+SENT_NODES = 1_000_000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,7 +214,8 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     Character references are decoded, white space in a block becomes one space, blocks are
     joined by one space in page order. Null and empty pages have an empty text; pages without
     a host form one site. Rows stay as they are. The counts of all pages of a host are
-    taken before shuffling; a page meets its host's low branches by a join that splits large hosts.
+    taken before shuffling; the pages meet their host's low branches where they are, or, if these
+    are more than SENT_NODES, by a join that splits large hosts.
     """
     prepared(pages.sparkSession)
     host = url_parts(pages[url_col])[0]
@@ -220,8 +223,10 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     row = F.struct(*[pages[c] for c in keep]).alias("row")
     parsed = _parsed(pages.select(row, host.alias("host"), pages[html_col].alias("html")))
     low = style_importance(parsed.select("host", "blocks")).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    low = low.groupBy("host").agg(F.collect_list("node").alias("low"))
-    met = parsed.join(low, "host", "left")
+    low = saved(low.groupBy("host").agg(F.collect_list("node").alias("low")))
+    nodes = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    # Few nodes in all are sent to the pages; many meet them by a shuffle, which splits large hosts.
+    met = parsed.join(F.broadcast(low) if nodes <= SENT_NODES else low, "host", "left")
     kept = F.filter("blocks", lambda b: b["plain"] | F.col("low").isNull() | ~F.array_contains("low", b["node"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return met.select("row.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
