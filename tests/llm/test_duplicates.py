@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 
 from tangentia.llm.components import components
 from tangentia.llm.jaccard_join import first_shared, jaccard_components, links, spanning

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 from pyspark.sql import functions as F
 
 from tangentia.llm import quality_rules as Q

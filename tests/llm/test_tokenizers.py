@@ -7,7 +7,7 @@ import pytest
 from tangentia.llm.queries import model_path
 from tangentia.llm.sentencepiece_codec import decode_pieces, encode_pieces
 from tangentia.llm.token_counts import token_counts
-from conftest import ODD  # noqa: E402  tests/llm/conftest.py
+from samples import ODD
 
 
 @pytest.fixture(scope="module")
