@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import zlib
@@ -35,6 +36,9 @@ def prepared(spark: SparkSession) -> SparkSession:
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, which outlives lost executors."""
     sc = df.sparkSession.sparkContext
+    # What earlier cuts have made unreachable still has shuffle files, until the driver collects its garbage.
+    gc.collect()
+    sc._jvm.System.gc()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tangentia-checkpoint-"))
     return df.checkpoint()
