@@ -8,8 +8,9 @@ evidence above FLOOR of all its words, which is divided by the root of their num
 logistic curve over these and the number's logarithm, fitted on labelled rows that the
 models haven't seen, gives the score.
 
-Counts are gathered over all labelled training rows by distributed aggregation; what
-reaches the executors is hashed into tables of a fixed size (`buckets`).
+Counts are gathered over all labelled training rows by distributed aggregation. All distinct
+8-byte grams with their counts are sent to the executors, so that what is sent grows with
+the grams of the training rows; lower orders and contexts follow from them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, saved, sieve, text_slices
-from tangentia.llm.words import U64, Words, lowered, mix, split_words, text_bytes
+from tangentia.llm.runtime import prepared, sieve, text_slices
+from tangentia.llm.words import Words, lowered, split_words, text_bytes
 
 #: Bytes of the grams of each level, the last 8 at most.
 ORDERS = (3, 5, 8)
@@ -37,8 +38,6 @@ FEATURES = {"best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0),
 SLICE = 1 << 20
 #: Grams that a worker holds to sum them before they leave.
 HELD = 600_000
-#: Steps of a doubling in the tables that are sent.
-LOG_STEPS = 1024
 
 
 def word_grams(words: Words, n: int = ORDERS[-1]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,28 +108,61 @@ def tail(gram: np.ndarray, k: int) -> np.ndarray:
     return gram if k == 8 else gram & ((1 << 8 * k) - 1)
 
 
-def bucket_of(gram: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    return (mix(gram.astype(U64) * U64(8) + U64(order)) % U64(buckets)).astype(np.int64)
+def looked_up(keys: np.ndarray, of: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Each of values where the sorted distinct keys hold `of`, and 0 elsewhere."""
+    if not len(keys):
+        return [np.zeros(len(of)) for _ in values]
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    found = keys[at] == of
+    return [np.where(found, v[at], 0) for v in values]
+
+
+@dataclass
+class Level:
+    """The grams of one class and order, sorted, with their counts, and their contexts with the followers' sums and numbers."""
+
+    grams: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray
+    totals: np.ndarray
+    types: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, n: np.ndarray) -> Level:
+        contexts, first = np.unique(grams >> 8, return_index=True)
+        types = np.diff(np.append(first, len(grams)))
+        return cls(grams, n, contexts, np.add.reduceat(n, first, dtype=float) if len(first) else np.zeros(0), types.astype(np.float32))
 
 
 @dataclass
 class Model:
-    """tables: by class, order, and what (grams, their contexts' sums and followers), the logarithm of one more than the count by bucket; pairs: shared bigram counts."""
+    """top: by class, the sorted distinct grams of the highest order and their counts; levels: by class and order; pairs: shared bigram counts."""
 
-    tables: np.ndarray
+    top: list[tuple[np.ndarray, np.ndarray]]
     pairs: np.ndarray
 
-    def packed(self) -> tuple[bytes, tuple, np.ndarray]:
-        """Compressed, as executors keep copies of what they are sent."""
-        return zlib.compress(self.tables.tobytes(), 1), self.tables.shape, self.pairs
+    def __post_init__(self) -> None:
+        self.levels = []
+        for grams, n in self.top:
+            own = [Level.of(grams, n)]
+            for k in ORDERS[-2::-1]:
+                # Below the highest order a gram counts once for each string of bytes that it is seen after.
+                own.append(Level.of(*np.unique(tail(own[-1].grams, k), return_counts=True)))
+            self.levels.append(own[::-1])
+
+    def packed(self) -> tuple[list, np.ndarray]:
+        """Compressed differences of the grams, and counts, as executors keep copies of what they are sent."""
+        small = lambda x: zlib.compress(x.tobytes(), 1)
+        return [(small(np.diff(grams, prepend=0)), small(n)) for grams, n in self.top], self.pairs
 
     @classmethod
-    def unpacked(cls, blob: bytes, shape: tuple, pairs: np.ndarray) -> Model:
-        return cls(np.frombuffer(zlib.decompress(blob), np.uint16).reshape(shape), pairs)
+    def unpacked(cls, blobs: list, pairs: np.ndarray) -> Model:
+        whole = lambda x, kind: np.frombuffer(zlib.decompress(x), kind)
+        return cls([(np.cumsum(whole(grams, np.int64)), whole(n, np.float32)) for grams, n in blobs], pairs)
 
     def evidence(self, gram: np.ndarray) -> np.ndarray:
         """log P(byte | toxic) - log P(byte | ordinary) of each gram's last byte."""
-        counts = np.exp2(np.arange(65536) / LOG_STEPS) - 1
+        gram, which = np.unique(gram, return_inverse=True)
         last, before = gram & 255, (gram >> 8) & 255
         single = (self.pairs.sum(0) + 0.5) / (self.pairs.sum() + 128)
         total = self.pairs.sum(1)
@@ -138,52 +170,28 @@ class Model:
         logs = []
         for c in (1, 0):
             p = shared
-            for i, k in enumerate(ORDERS):
-                grams, totals, types = self.tables[c, i]
-                g, buckets = tail(gram, k), self.tables.shape[-1]
-                at, over = bucket_of(g, k, buckets), bucket_of(g >> 8, k, buckets)
-                n, rest = counts[grams[at]], counts[totals[over]]
+            for level, k in zip(self.levels[c], ORDERS):
+                g = tail(gram, k)
+                (n,) = looked_up(level.grams, g, level.n)
+                rest, types = looked_up(level.contexts, g >> 8, level.totals, level.types)
                 known = rest > 0
                 rest = np.where(known, rest, 1)
-                p = np.where(known, np.maximum(n - DISCOUNT, 0) / rest + np.minimum(DISCOUNT * counts[types[over]] / rest, 1) * p, p)
+                p = np.where(known, np.maximum(n - DISCOUNT, 0) / rest + np.minimum(DISCOUNT * types / rest, 1) * p, p)
             logs.append(np.log(p))
-        return logs[0] - logs[1]
+        return (logs[0] - logs[1])[which]
 
 
-def fit_model(counts: DataFrame, buckets: int) -> Model:
-    """The tables of a model from (toxic, gram, n); only sums by bucket come to the driver.
-
-    One value a bucket: 18 * buckets for the tables and 65,536 for the pairs at most.
-    """
-    level, last = counts, len(ORDERS) - 1
-    frames = [counts.select(F.lit(-1).alias("cell"), F.lit(2).alias("k"), F.col("gram").bitwiseAND(F.lit(65535)).alias("gram"), "n")]
-    for i in range(last, -1, -1):
-        cell = lambda what, i=i: ((F.col("toxic") * len(ORDERS) + i) * 3 + what).cast("int").alias("cell")
-        k = F.lit(ORDERS[i]).alias("k")
-        followers = level.groupBy("toxic", F.shiftright("gram", 8).alias("gram")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        frames += [level.select(cell(0), k, "gram", "n"), followers.select(cell(1), k, "gram", F.col("total").alias("n")), followers.select(cell(2), k, "gram", F.col("types").alias("n"))]
-        if i:
-            # Below the highest order a gram counts once for each string of bytes that it is seen after.
-            level = level.groupBy("toxic", F.col("gram").bitwiseAND(F.lit((1 << 8 * ORDERS[i - 1]) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionAll(f)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gram, k, cell = (b.column(x).to_numpy() for x in ("gram", "k", "cell"))
-            at = np.where(cell < 0, -1 - gram, 0)
-            for order in np.unique(k[cell >= 0]):
-                own = (k == order) & (cell >= 0)
-                at[own] = cell[own] * np.int64(buckets) + bucket_of(gram[own], int(order), buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("n")], ["at", "n"])
-
-    got = rows.mapInArrow(placed, "at long, n long").groupBy("at").agg(F.sum("n").cast("float").alias("n")).toArrow()
-    at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
-    tables, pairs = np.zeros(2 * len(ORDERS) * 3 * buckets, np.uint16), np.zeros(65536)
-    tables[at[at >= 0]] = np.minimum(np.round(np.log2(1 + n[at >= 0]) * LOG_STEPS), 65535)
-    pairs[-1 - at[at < 0]] = n[at < 0]
-    return Model(tables.reshape(2, len(ORDERS), 3, buckets), pairs.reshape(256, 256))
+def fit_model(counts: DataFrame) -> Model:
+    """A model from (toxic, gram, n) of distinct grams, which come to the driver: 13 bytes a gram and class."""
+    got = counts.select(F.col("toxic").cast("byte").alias("toxic"), "gram", F.col("n").cast("float").alias("n")).toArrow()
+    toxic, gram, n = (got.column(x).to_numpy() for x in ("toxic", "gram", "n"))
+    pairs = np.bincount(gram & 65535, n, 65536).reshape(256, 256)
+    top = []
+    for c in (0, 1):
+        grams, times = gram[toxic == c], n[toxic == c]
+        order = np.argsort(grams)
+        top.append((grams[order], times[order]))
+    return Model(top, pairs)
 
 
 def text_features(model: Model, column: pa.Array) -> np.ndarray:
@@ -242,7 +250,7 @@ class Scorer:
     weights: np.ndarray | None
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """A scorer from labelled rows: labels of (id, 0 or 1); other labels, null labels and null ids teach nothing.
 
     Ids of folds 0 and 3 teach the models, those of fold 1 the curve, and fold 2 is held
@@ -255,8 +263,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, id_
     def labelled(rows: DataFrame) -> DataFrame:
         return texts.filter(sieve(rows, "id")(F.col("id"))).join(rows, "id").select("toxic", "text")
 
-    counts = saved(gram_counts(labelled(known.filter(F.col("fold").isin(0, 3)))))
-    model = spark.sparkContext.broadcast(fit_model(counts, buckets).packed())
+    counts = gram_counts(labelled(known.filter(F.col("fold").isin(0, 3))))
+    model = spark.sparkContext.broadcast(fit_model(counts).packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.unpacked(*model.value)

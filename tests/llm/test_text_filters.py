@@ -9,6 +9,7 @@ from samples import ODD
 from pyspark.sql import functions as F
 
 from tangentia.llm import quality_rules as Q
+from tangentia.llm import toxicity as T
 from tangentia.llm.decontaminate import RADIUS, Index, benchmark_leaks, distance, fingerprints
 from tangentia.llm.toxicity import score_toxicity
 
@@ -71,6 +72,48 @@ def test_toxicity_of_odd_rows(spark, docs_of):
     assert score_toxicity(docs_of([]), labels).count() == 0
 
 
+def test_toxicity_counts_grams_exactly(spark):
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    rows = [(i, " ".join(bytes(x).decode() for x in rng.choice(letters, (600, 9))), int(i % 10 == 0)) for i in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.Model.unpacked(*T.fit_toxicity(texts.select("doc_id", "text"), texts.select("doc_id", "toxic")).model.value)
+    taught = {r[0] for r in texts.filter(T.fold(F.col("doc_id")).isin(0, 3)).select("doc_id").collect()}
+    top = [Counter(), Counter()]
+    for i, text, c in rows:
+        if i in taught:
+            for w in text.encode().split(b" "):
+                w = b" " * 8 + w + b" "
+                top[c].update(w[k - 7 : k + 1] for k in range(8, len(w)))
+    assert sum(map(len, top)) > 800_000
+    pairs = Counter()
+    for c in top:
+        for g, n in c.items():
+            pairs[g[-2:]] += n
+    total, single = Counter(), Counter()
+    for g, n in pairs.items():
+        total[g[:1]] += n
+        single[g[1:]] += n
+    seen = list(top[1])[:100] + list(top[0])[:100]
+    asked = seen + [bytes(rng.permutation(np.frombuffer(g, np.uint8))) for g in seen]
+    logs = []
+    for c in (1, 0):
+        level = [top[c]]
+        for k in (5, 3):
+            level.append(Counter(g[-k:] for g in level[-1]))
+        p = [(pairs[g[-2:]] + 4 * (single[g[-1:]] + 0.5) / (sum(pairs.values()) + 128)) / (total[g[-2:-1]] + 4) for g in asked]
+        for own, k in zip(level[::-1], (3, 5, 8)):
+            rest, types = Counter(), Counter(g[:-1] for g in own)
+            for g, n in own.items():
+                rest[g[:-1]] += n
+            for i, g in enumerate(asked):
+                g = g[-k:]
+                if rest[g[:-1]]:
+                    p[i] = max(own[g] - 0.75, 0) / rest[g[:-1]] + min(0.75 * types[g[:-1]] / rest[g[:-1]], 1) * p[i]
+        logs.append(np.log(p))
+    assert model.evidence(np.array([int.from_bytes(g, "big", signed=True) for g in asked])) == pytest.approx(logs[0] - logs[1], abs=0.01)
+
+
 def test_leaks_match_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
