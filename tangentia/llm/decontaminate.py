@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search.
 
 A benchmark item of L words is compared with every window of L consecutive words of every
-text: both are multisets of shingles of consecutive words, and their similarity is the
-weighted Jaccard, sum of least over sum of largest multiplicities. Fingerprints of 64
+text, and with the whole of a text that has fewer words, but enough to reach the threshold:
+both are multisets of shingles of consecutive words, and their similarity is the weighted
+Jaccard, sum of least over sum of largest multiplicities. Fingerprints of 64
 bits, the signs of the shingles' summed +-1 vectors, choose the candidates: each is cut
 into 8 blocks of 8 bits, and two fingerprints within the radius of 23 have a block that
 differs in at most 23 // 8 = 2 bits, so that tables of each block's values give all items
@@ -113,16 +114,25 @@ def indexes(items: list, column: pa.Array, k: int) -> tuple[list[Index], np.ndar
     return found, np.unique(np.concatenate([s for x in found for s in x.shingles])) if found else np.empty(0, U64)
 
 
-def window_starts(near: np.ndarray, first: np.ndarray, doc: np.ndarray, size: np.ndarray, width: int, k: int) -> np.ndarray:
-    """First words of the windows of `width` words that hold a shingle at one of `near`."""
+def window_starts(near: np.ndarray, first: np.ndarray, doc: np.ndarray, size: np.ndarray, width: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, shingles) of the windows of `width` words that hold a shingle at one of `near`.
+
+    A text of fewer words is one window if its shingles are enough for the threshold.
+    """
     span = width - k + 1
+    own = doc[near]
+    short = np.unique(own[(size[own] < width) & ((size[own] - k + 1) / span >= threshold)])
     low = np.maximum(near - span + 1, first[doc[near]])
     high = np.minimum(near, first[doc[near]] + size[doc[near]] - width)
     step = np.zeros(len(doc) + 1, np.int64)
     ok = high >= low
     np.add.at(step, low[ok], 1)
     np.add.at(step, high[ok] + 1, -1)
-    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    full = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    starts = np.concatenate([full, first[short]])
+    spans = np.concatenate([np.full(len(full), span), size[short] - k + 1])
+    order = np.argsort(starts)
+    return starts[order], spans[order]
 
 
 def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.ndarray, threshold: float) -> Iterator[tuple[int, object, int, int, float]]:
@@ -145,12 +155,11 @@ def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.nda
         near = at[np.isin(key, np.concatenate(index.shingles))]
         if not len(near):
             continue
-        starts = window_starts(near, words.first, words.doc, size, index.width, index.k)
-        span = index.width - index.k + 1
+        starts, spans = window_starts(near, words.first, words.doc, size, index.width, index.k, threshold)
         for i in range(0, len(starts), PART):
-            own = starts[i : i + PART]
+            own, span = starts[i : i + PART], spans[i : i + PART]
             # Sums over windows from running sums over the words that they touch.
-            touched = np.zeros(own[-1] + span + 1 - own[0], bool)
+            touched = np.zeros((own + span).max() + 1 - own[0], bool)
             edge = np.zeros(len(touched) + 1, np.int64)
             np.add.at(edge, own - own[0], 1)
             np.add.at(edge, own - own[0] + span, -1)
@@ -162,13 +171,13 @@ def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.nda
             prints = fingerprints(total[a + span] - total[a])
             row, item = index.candidates(prints)
             for r, j in zip(row.tolist(), item.tolist()):
-                start = int(own[r])
-                s = similarity(all_keys[start : start + span], index.shingles[j])
+                start, n = int(own[r]), int(span[r])
+                s = similarity(all_keys[start : start + n], index.shingles[j])
                 if s >= threshold:
                     doc = int(words.doc[start])
                     old = best.get((doc, index.items[j]))
                     if old is None or s > old[2]:
-                        best[doc, index.items[j]] = (start - int(words.first[doc]), index.width, s)
+                        best[doc, index.items[j]] = (start - int(words.first[doc]), n + index.k - 1, s)
     for (doc, item), (start, width, s) in sorted(best.items()):
         yield doc, item, start, width, s
 

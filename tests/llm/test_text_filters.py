@@ -137,6 +137,15 @@ def test_leaks_match_brute_force(spark):
     assert got == pytest.approx(wanted)
 
 
+def test_texts_shorter_than_an_item_are_compared_whole(spark, docs_of):
+    w = [f"w{k}" for k in range(59)]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "a b c d e f g h i"), (3, "p q r s")], "item_id long, text string")
+    cut = [w[:-1], w[3:-4], w[11:], w[12:], "a b c d e f g h".split(), "b c d e f g h".split(), "p q r".split(), ["x"] + w[:-1]]
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"], r["similarity"]) for r in benchmark_leaks(docs_of([(k, " ".join(x)) for k, x in enumerate(cut)]), items).collect()}
+    wanted = {(0, 1): (0, 58, 54 / 55), (1, 1): (0, 52, 48 / 55), (2, 1): (0, 48, 44 / 55), (4, 2): (0, 8, 0.8), (7, 1): (0, 59, 54 / 56)}
+    assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
 def test_block_tables_give_all_within_the_radius():
     rng = np.random.default_rng(2)
     index = Index.of(9, 5, list(range(40)), [rng.integers(0, 1 << 63, 5, dtype=np.uint64) for _ in range(40)])
