@@ -6,10 +6,10 @@ stands, with which contents, and with which looks (the inline elements within).
 content that is on c of a node's m pages has the entropy log c / log m; a node's importance
 is 0.9 of one minus the mean entropy of its contents, and 0.1 of its looks' entropy to
 base m. What stands on all pages alike has importance 0, what differs from page to page 1.
-Branches of low importance go. So do branches whose tag, class or role says that they are
-no content, whatever the site. The plain elements (without class or id) of an article or
-main element are the text that the site is for, and stay; where there are such elements, only
-they are read.
+Branches of low importance go, in an article or not. So do branches whose tag, class or role
+says that they are no content, whatever the site. The plain elements (without class or id) of
+an article or main element are likely the text that the site is for, so that their
+importance is raised by a prior.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from tangentia.llm.words import span_hashes
 #: Nodes on fewer pages of a host are not judged, and those below the importance go.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.35
 CONTENT_SHARE = 0.9
+#: What is added to the importance of plain elements of an article or main element.
+MAIN_PRIOR = 0.15
 #: Low nodes of all hosts that are broadcast; 8 bytes each.
 SENT_NODES = 1_000_000
 
@@ -73,11 +75,12 @@ def _is_marked(attrs: dict[str, str]) -> bool:
     )
 
 
-def page_blocks(page: str) -> list[tuple[str, str, str, bool]]:
+def page_blocks(page: str, whole: bool = False) -> list[tuple[str, str, str, bool]]:
     """(style path, look, text, plain) of the blocks of a page that nothing marks as no content.
 
     plain: in an article or main element, and from there on without a class or id. If a
-    page has such an element, only blocks in one are given.
+    page has such an element, only blocks in one are given, or, with `whole`, all: a page
+    of which no other is known has no importances to tell its blocks by.
     """
     out: list[tuple[str, str, str, bool, bool]] = []
     # Of each open element: tag, style path, inside something to drop, inside main text, plain since there.
@@ -166,7 +169,7 @@ def page_blocks(page: str) -> list[tuple[str, str, str, bool]]:
         elif token[0] != "<" or len(token) == 1:
             parts.append(token)
     flush()
-    if any(x[4] for x in out):
+    if not whole and any(x[4] for x in out):
         out = [x for x in out if x[4]]
     return [x[:4] for x in out]
 
@@ -185,7 +188,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "html"):
-            per_page = [page_blocks(h) if h else [] for h in batch.column("html").to_pylist()]
+            per_page = [page_blocks(h, whole=True) if h else [] for h in batch.column("html").to_pylist()]
             flat = [b for p in per_page for b in p]
             paths, looks, texts, plain = ([b[i] for b in flat] for i in range(4))
             at = np.concatenate([[0], np.cumsum([len(p) for p in per_page])]).astype(np.int32)
@@ -223,10 +226,12 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     row = F.struct(*[pages[c] for c in keep]).alias("row")
     parsed = _parsed(pages.select(row, host.alias("host"), pages[html_col].alias("html")))
     low = style_importance(parsed.select("host", "blocks")).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    low = saved(low.groupBy("host").agg(F.collect_list("node").alias("low")))
+    lowest = F.when(F.col("importance") + MAIN_PRIOR < least_importance, F.col("node"))
+    low = saved(low.groupBy("host").agg(F.collect_list("node").alias("low"), F.collect_list(lowest).alias("lowest")))
     nodes = low.agg(F.sum(F.size("low"))).first()[0] or 0
     # Few nodes in all are sent to the pages; many meet them by a shuffle, which splits large hosts.
     met = parsed.join(F.broadcast(low) if nodes <= SENT_NODES else low, "host", "left")
-    kept = F.filter("blocks", lambda b: b["plain"] | F.col("low").isNull() | ~F.array_contains("low", b["node"]))
+    gone = lambda b: F.when(b["plain"], F.array_contains("lowest", b["node"])).otherwise(F.array_contains("low", b["node"]))
+    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~gone(b))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return met.select("row.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -42,6 +42,13 @@ def test_what_all_pages_share_goes(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_blocks_are_judged_in_articles_and_outside(spark):
+    rows = [(i, f"http://teaser.example/{i}", f"<div>Our site</div><article><p>Teaser {i}</p></article><div><section><p>Main text {i} of {i * 7}</p></section></div>") for i in range(20)]
+    rows += [(100 + i, f"http://notice.example/{i}", f"<article><section><p>The same notice</p></section><div><p>Story {i}</p></div></article>") for i in range(20)]
+    out = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Teaser {i} Main text {i} of {i * 7}" for i in range(20)} | {100 + i: f"Story {i}" for i in range(20)}
+
+
 def test_extraction_matches_the_articles_of_the_table(spark, sf):
     import html
     import re
