@@ -7,14 +7,16 @@ transitions score 0 where compatible and minus infinity elsewhere, finds the lib
 ids. (Maximal sums of piece scores, the rule of unigram models, are not these ids.)
 A batch's distinct chunks are grouped by their number of code points, and the chunks
 of a group advance together: hashes of the substrings that end at a position probe the
-sorted piece keys, and the maxima over them store the backpointers. A character
-without a piece becomes its UTF-8 bytes' pieces, and is compatible with everything.
+sorted piece keys, and the maxima over their scores store the backpointers. A character
+without a piece becomes its UTF-8 bytes' pieces, and is compatible with everything; any
+path through pieces scores above it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,16 @@ from pyspark.sql import DataFrame
 
 from tangentia.llm.pieces import Pieces, chunks, code_points, spaced, text_key
 from tangentia.llm.runtime import prepared, text_slices
-from tangentia.llm.token_counts import COUNT_SLICE, Merges, merged_counts, plain_spaces
+from tangentia.llm.token_counts import Merges, merged_counts, plain_spaces
 from tangentia.llm.words import U64, mix, span_hashes, text_bytes
 
 BASE = U64(0x9E3779B97F4A7C15)
 #: Cells of a group of chunks that advance together.
-CELLS = 1 << 20
+CELLS = 1 << 18
+#: Text bytes that are encoded at once; about 60 times as much memory is used.
+ENCODE_SLICE = 2 << 20
+#: Score of a character without a piece.
+UNKNOWN_SCORE = np.float32(-1)
 #: Slots of the table of pairs whose compatibility is known; a full slot is overwritten.
 SLOTS = 1 << 20
 SIEVE = 1 << 20
@@ -111,12 +117,22 @@ class Codec:
             prefix[j + 1] = prefix[j] * BASE + symbol[j]
             power[j + 1 : j + 2] = power[j : j + 1] * BASE
         back, last = np.ones((n + 1, m), np.int32), np.full((n + 1, m), -1, np.int32)
+        best = np.zeros((n + 1, m), np.float32)
         for j in range(1, n + 1):
             ks = self.lengths[self.lengths <= j]
             hit, piece = self.probe((prefix[j] - prefix[j - ks] * power[ks][:, None]).ravel())
-            size, row = ks[hit // m], hit % m
+            of, row = hit // m, hit % m
+            size = ks[of]
             fit = (size == j) | self.compatible(last[j - size, row], piece)
-            back[j, row[fit]], last[j, row[fit]] = size[fit], piece[fit]
+            score = np.full((len(ks), m), -np.inf, np.float32)
+            ids = np.zeros((len(ks), m), np.int32)
+            score[of[fit], row[fit]] = best[j - size[fit], row[fit]]
+            ids[of, row] = piece
+            which, every = score.argmax(0), np.arange(m)
+            most = score[which, every]
+            known = most > -np.inf
+            best[j] = np.where(known, most, best[j - 1] + UNKNOWN_SCORE)
+            back[j], last[j] = np.where(known, ks[which], 1), np.where(known, ids[which, every], -1)
         return back.T, last.T
 
     def trace(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,6 +210,12 @@ class Codec:
             return pa.array([b.decode("utf-8", "replace") for b in out.to_pylist()], pa.large_string())
 
 
+@lru_cache(maxsize=2)
+def codec_of(model_path: str) -> Codec:
+    """One codec for each model and worker process, which serves all tasks of the worker."""
+    return Codec.of(Pieces.load(model_path))
+
+
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "piece_ids", verify: bool = False) -> DataFrame:
     """The rows of docs with a column `out_col`: array of the text's piece ids, without begin and end marks.
 
@@ -212,8 +234,8 @@ def _mapped(docs: DataFrame, model_path: str, col: str, out_col: str, kind: str,
     schema = f"{base._jdf.schema().toDDL()}, `{out_col}` {kind}" + ", round_trip boolean" * verify
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(Pieces.load(model_path))
-        for batch in text_slices(batches, col, COUNT_SLICE):
+        codec = codec_of(model_path)
+        for batch in text_slices(batches, col, ENCODE_SLICE):
             texts = plain_spaces(batch.column(col))
             ids, at = codec.encode(texts)
             more = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
@@ -235,7 +257,7 @@ def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "piece_ids",
     schema = f"{base._jdf.schema().toDDL()}, `{out_col}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(Pieces.load(model_path))
+        codec = codec_of(model_path)
         for batch in batches:
             lists = batch.column(ids_col)
             size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from tangentia.llm.words import span_hashes, text_bytes
 #: Sequences of more symbols are merged by a queue, as they would hold up the rest.
 LONG = 2048
 NONE = np.iinfo(np.int32).max
-COUNT_SLICE = 12 << 20
+COUNT_SLICE = 4 << 20
 
 
 @dataclass
@@ -185,6 +186,12 @@ def count_tokens(m: Merges, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n_bytes, np.diff(sums[first])
 
 
+@lru_cache(maxsize=2)
+def merges_of(model_path: str) -> Merges:
+    """One table of merges for each model and worker process."""
+    return Merges.of(Pieces.load(model_path))
+
+
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, `n_bytes` (UTF-8) and `n_tokens`, as the model's library counts them.
 
@@ -196,7 +203,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges.of(Pieces.load(model_path))
+        merges = merges_of(model_path)
         for batch in text_slices(batches, "text", COUNT_SLICE):
             n_bytes, n_tokens = count_tokens(merges, plain_spaces(batch.column("text")))
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
