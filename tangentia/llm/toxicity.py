@@ -3,8 +3,10 @@
 Two interpolated Kneser-Ney models over the UTF-8 bytes of words, one of toxic and one of
 ordinary texts, back off from 8 to 5 to 3 bytes, and then to one bigram model with counts of both classes, so
 that what neither class knows well is scored alike. A word's evidence is the difference
-of its log-likelihoods. A text is told by the two words of the most evidence, and by the
-evidence above FLOOR of all its words, which is divided by the root of their number. A
+of its log-likelihoods. A text's length-normalised log-likelihoods are compared: their
+difference is the mean evidence of its words. As one rare expression in a long text hardly moves that
+mean, the same difference is taken over the text's most telling parts too: the two words of the
+most evidence, and what lies above FLOOR of all words, over the root of their number. A
 logistic curve over these and the number's logarithm, fitted on labelled rows that the
 models haven't seen, gives the score.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ ORDERS = (3, 5, 8)
 DISCOUNT = 0.75
 #: Evidence of a word that chance gives.
 FLOOR = 2.0
-#: Features, and the width and the largest value of the bins in which they are counted to fit the curve.
-FEATURES = {"best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0), "size": (0.5, 20.0)}
+#: Features, and the width and the largest absolute value of the bins in which they are counted to fit the curve.
+FEATURES = {"mean": (0.125, 3.0), "best": (0.5, 12.0), "second": (0.25, 12.0), "excess": (0.25, 8.0), "size": (0.5, 20.0)}
 SLICE = 1 << 20
 #: Grams that a worker holds to sum them before they leave.
 HELD = 600_000
@@ -136,19 +139,22 @@ class Level:
 
 @dataclass
 class Model:
-    """top: by class, the sorted distinct grams of the highest order and their counts; levels: by class and order; pairs: shared bigram counts."""
+    """top: by class, the sorted distinct grams of the highest order and their counts; pairs: shared bigram counts."""
 
     top: list[tuple[np.ndarray, np.ndarray]]
     pairs: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.levels = []
+    @cached_property
+    def levels(self) -> list[list[Level]]:
+        """By class and order; only those who score build them."""
+        out = []
         for grams, n in self.top:
             own = [Level.of(grams, n)]
             for k in ORDERS[-2::-1]:
                 # Below the highest order a gram counts once for each string of bytes that it is seen after.
                 own.append(Level.of(*np.unique(tail(own[-1].grams, k), return_counts=True)))
-            self.levels.append(own[::-1])
+            out.append(own[::-1])
+        return out
 
     def packed(self) -> tuple[list, np.ndarray]:
         """Compressed differences of the grams, and counts, as executors keep copies of what they are sent."""
@@ -199,20 +205,22 @@ def text_features(model: Model, column: pa.Array) -> np.ndarray:
     few, which, words = distinct_words(column)
     size = np.diff(words.first)
     out = np.zeros((len(size), len(FEATURES)))
-    out[:, 3] = np.log1p(size)
+    out[:, 4] = np.log1p(size)
     if len(words):
         gram, _, at = word_grams(few)
         each = np.add.reduceat(model.evidence(gram), at[:-1])[which]
         full = np.flatnonzero(size)
         first = words.first[:-1][full]
         best = np.maximum.reduceat(each, first)
-        out[full, 0] = np.maximum(best, 0)
-        out[full, 2] = np.add.reduceat(np.maximum(each - FLOOR, 0), first) / np.sqrt(size[full])
+        out[full, 0] = np.add.reduceat(each, first) / size[full]
+        out[full, 1] = np.maximum(best, 0)
+        out[full, 3] = np.add.reduceat(np.maximum(each - FLOOR, 0), first) / np.sqrt(size[full])
         top = np.flatnonzero(each == np.repeat(best, size[full]))
         top = top[np.concatenate([[True], words.doc[top][1:] != words.doc[top][:-1]])]
         each[top] = 0
-        out[full, 1] = np.maximum(np.maximum.reduceat(each, first), 0)
-    return np.minimum(out, [most for _, most in FEATURES.values()])
+        out[full, 2] = np.maximum(np.maximum.reduceat(each, first), 0)
+    most = np.array([m for _, m in FEATURES.values()])
+    return np.clip(out, -most, most)
 
 
 def fit_curve(features: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -261,7 +269,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return texts.filter(sieve(rows, "id")(F.col("id"))).join(rows, "id").select("toxic", "text")
+        # One plan at every size: few labels would be broadcast else, and many not.
+        return texts.filter(sieve(rows, "id")(F.col("id"))).join(rows.hint("merge"), "id").select("toxic", "text")
 
     counts = gram_counts(labelled(known.filter(F.col("fold").isin(0, 3))))
     model = spark.sparkContext.broadcast(fit_model(counts).packed())
