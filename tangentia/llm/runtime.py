@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,10 +41,20 @@ def saved(df: DataFrame) -> DataFrame:
     gc.collect()
     sc._jvm.System.gc()
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tangentia-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a session without other machines may leave it unset."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tangentia-checkpoint-")
+
+
 def _released() -> None:
     """Give freed memory back to the system, where the C library can; workers are many and long-lived."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
