@@ -1,8 +1,11 @@
 """Quality rules: counts over the whole text, and a line labelling by a linear-chain CRF.
 
 Lines with a word are observations of twelve yes-or-no features. A conditional random
-field with the states content and boilerplate is fitted on labelled documents, whose
-lines all carry the document's label. Viterbi decoding, in step for all texts of a
+field with the states content and boilerplate is fitted on the lines of labelled documents:
+those of good ones are content, and those of poor ones are a mixture, whose labels are found by
+turns. They begin with what tells a line of poor documents from one of good ones; then the field is
+fitted to the labels, and the lines of poor documents get its likeliest labelling, one line at
+least staying boilerplate. Viterbi decoding, in step for all texts of a
 batch, labels each line; the share of words in content lines decides retention.
 """
 
@@ -27,8 +30,10 @@ REPEAT = 5
 #: A document is kept if so large a share of its words lies in content lines.
 CONTENT_SHARE = 0.5
 N_FEATURES = 12
-#: Longer documents don't teach the field.
-MOST_LINES = 128
+#: The field is taught by stretches of so many lines.
+STRETCH = 128
+#: Turns of fitting and labelling, and steps of the first and of further fits.
+TURNS, STEPS = 4, (120, 60)
 _KIND = np.zeros((6, 256), np.int64)
 _KIND[0, list(SYMBOLS)] = 1
 _KIND[1, 65:91] = 1
@@ -152,79 +157,129 @@ class Field:
         """All lines are content."""
         return cls(np.zeros((2, N_FEATURES + 1)), np.zeros((2, 2)), np.array([0.0, -1.0]))
 
+    def theta(self) -> np.ndarray:
+        return np.concatenate([self.weights.ravel(), self.moves.ravel(), self.start])
+
     @classmethod
-    def fit(cls, codes: list[np.ndarray], labels: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Field:
-        """Maximum conditional likelihood by Adam; labels: the state of all lines of each text."""
-        order = np.argsort([-len(c) for c in codes], kind="stable")
-        codes, y = [codes[i] for i in order], np.asarray(labels)[order]
-        size = np.array([len(c) for c in codes])
-        steps, docs = int(size.max()), len(codes)
-        grid = np.zeros((steps, docs), np.int64)
-        for i, c in enumerate(codes):
-            grid[: len(c), i] = c
-        live = [int((size > t).sum()) for t in range(steps)]
-        bits = _bits(np.arange(1 << N_FEATURES))
-        mask = np.arange(steps)[:, None] < size
-        seen = np.stack([np.bincount(grid[mask & (y == s)], minlength=1 << N_FEATURES) for s in (0, 1)])
-        pairs = np.diag([(size[y == s] - 1).sum() for s in (0, 1)])
-        starts = np.array([(y == s).sum() for s in (0, 1)])
-        theta = np.zeros(2 * (N_FEATURES + 1) + 6)
+    def of(cls, theta: np.ndarray) -> Field:
+        return cls(theta[:-6].reshape(2, -1), theta[-6:-2].reshape(2, 2), theta[-2:])
+
+    @classmethod
+    def fit(cls, stretches: Stretches, begin: Field | None = None, rounds: int = STEPS[0], ridge: float = 1e-3) -> Field:
+        """Maximum conditional likelihood of the lines' states by Adam."""
+        theta = np.zeros(2 * (N_FEATURES + 1) + 6) if begin is None else begin.theta()
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, rounds + 1):
-            f = cls(theta[:-6].reshape(2, -1), theta[-6:-2].reshape(2, 2), theta[-2:])
-            score = (bits @ f.weights.T)[grid]
-            forward = [f.start + score[0]]
-            for t in range(1, steps):
-                n = live[t]
-                a = forward[-1][:n, :, None] + f.moves
-                forward.append(np.logaddexp(a[:, 0], a[:, 1]) + score[t, :n])
-            expect, moves, starting = np.zeros_like(seen, float), np.zeros((2, 2)), None
-            later = np.zeros((0, 2))
-            for t in range(steps - 1, -1, -1):
-                n, ahead = live[t], len(later)
-                beta = np.zeros((n, 2))
-                if ahead:
-                    b = f.moves + (score[t + 1, :ahead] + later)[:, None, :]
-                    beta[:ahead] = np.logaddexp(b[:, :, 0], b[:, :, 1])
-                    joint = forward[t][:ahead, :, None] + b
-                    joint -= joint.max((1, 2), keepdims=True)
-                    joint = np.exp(joint)
-                    moves += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-                p = forward[t] + beta
-                p = np.exp(p - p.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                for s in (0, 1):
-                    expect[s] += np.bincount(grid[t, :n], p[:, s], 1 << N_FEATURES)
-                starting, later = p.sum(0), beta
-            g = np.concatenate([((expect - seen) @ bits).ravel(), (moves - pairs).ravel(), starting - starts]) / docs + ridge * theta
+            g = -stretches.likelihood(cls.of(theta))[1] / len(stretches.size) + ridge * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        return cls(theta[:-6].reshape(2, -1), theta[-6:-2].reshape(2, 2), theta[-2:])
+        return cls.of(theta)
+
+
+class Stretches:
+    """Sequences of lines' codes and states, the longest first, held by place."""
+
+    def __init__(self, codes: list[np.ndarray], states: list[np.ndarray]):
+        order = np.argsort([-len(c) for c in codes], kind="stable")
+        codes, states = [codes[i] for i in order], [states[i] for i in order]
+        self.size = np.array([len(c) for c in codes])
+        steps = int(self.size.max())
+        self.grid = np.zeros((steps, len(codes)), np.int64)
+        state = np.zeros((steps, len(codes)), np.int64)
+        for i, (c, y) in enumerate(zip(codes, states)):
+            self.grid[: len(c), i], state[: len(c), i] = c, y
+        self.live = [int((self.size > t).sum()) for t in range(steps)]
+        there = np.arange(steps)[:, None] < self.size
+        self.seen = np.stack([np.bincount(self.grid[there & (state == s)], minlength=1 << N_FEATURES) for s in (0, 1)])
+        self.pairs = np.bincount((2 * state[:-1] + state[1:])[there[1:]], minlength=4).reshape(2, 2)
+        self.starts = np.bincount(state[0], minlength=2)
+
+    def likelihood(self, f: Field) -> tuple[float, np.ndarray]:
+        """(log-likelihood of the states, its gradient by Field.theta)."""
+        bits = _bits(np.arange(1 << N_FEATURES))
+        table = bits @ f.weights.T
+        score, live = table[self.grid], self.live
+        forward = [f.start + score[0]]
+        for t in range(1, len(live)):
+            a = forward[-1][: live[t], :, None] + f.moves
+            forward.append(np.logaddexp(a[:, 0], a[:, 1]) + score[t, : live[t]])
+        norm = sum(float(np.logaddexp(x[n:, 0], x[n:, 1]).sum()) for x, n in zip(forward, [*live[1:], 0]))
+        expect, moves, starting, later = np.zeros_like(self.seen, float), np.zeros((2, 2)), None, np.zeros((0, 2))
+        for t in range(len(live) - 1, -1, -1):
+            n, ahead = live[t], len(later)
+            beta = np.zeros((n, 2))
+            if ahead:
+                b = f.moves + (score[t + 1, :ahead] + later)[:, None, :]
+                beta[:ahead] = np.logaddexp(b[:, :, 0], b[:, :, 1])
+                joint = forward[t][:ahead, :, None] + b
+                joint -= joint.max((1, 2), keepdims=True)
+                joint = np.exp(joint)
+                moves += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            p = forward[t] + beta
+            p = np.exp(p - p.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            for s in (0, 1):
+                expect[s] += np.bincount(self.grid[t, :n], p[:, s], 1 << N_FEATURES)
+            starting, later = p.sum(0), beta
+        value = float((self.seen * table.T).sum() + (self.pairs * f.moves).sum() + self.starts @ f.start) - norm
+        return value, np.concatenate([((self.seen - expect) @ bits).ravel(), (self.pairs - moves).ravel(), self.starts - starting])
+
+
+def odds(codes: np.ndarray, poor: np.ndarray) -> np.ndarray:
+    """By code of a line: the log of its share in poor documents over that in good ones, codes alike in few lines drawn to 0."""
+    held = [np.bincount(codes[poor == s], minlength=1 << N_FEATURES) for s in (0, 1)]
+    return np.log((held[1] + 0.5) / (held[1].sum() + 1)) - np.log((held[0] + 0.5) / (held[0].sum() + 1))
+
+
+def labelled_field(codes: list[np.ndarray], poor: np.ndarray) -> Field:
+    """A field from documents' lines and whether each document is poor; see above."""
+    flat, size = np.concatenate(codes), np.array([len(c) for c in codes])
+    first = np.concatenate([[0], np.cumsum(size)])
+    doc = np.repeat(np.arange(len(codes)), size)
+    of_poor = np.asarray(poor, bool)[doc]
+    bad = odds(flat, of_poor.astype(int))[flat]
+    # The line of each poor document that tells most stays boilerplate.
+    worst = np.array([first[i] + bad[first[i] : first[i + 1]].argmax() for i in np.flatnonzero(poor)], np.int64)
+    state = (of_poor & (bad > 0)).astype(np.int8)
+    state[worst] = 1
+    cuts = np.unique(np.concatenate([first[:-1], *[np.arange(a, b, STRETCH) for a, b in zip(first, first[1:])]]))
+    parts = list(zip(cuts, [*cuts[1:], len(flat)]))
+    field = None
+    lines = Lines(doc, first, np.ones(len(flat), np.int64), flat, np.zeros(len(flat), bool))
+    for turn in range(TURNS):
+        field = Field.fit(Stretches([flat[a:b] for a, b in parts], [state[a:b] for a, b in parts]), field, STEPS[min(turn, 1)])
+        again = np.where(of_poor, field.viterbi(lines), 0).astype(np.int8)
+        again[worst] = 1
+        if (again == state).all():
+            break
+        state = again
+    return field
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """A field from at most sample_rows labelled documents (1 good, 0 poor), those with the least hash of their id.
 
-    Only their lines' features come to the driver, of documents with up to MOST_LINES lines.
-    Without labels of both kinds every line is content.
+    Only their lines' features come to the driver, of all their lines. Of ids that are
+    repeated, one row teaches (labels: a good one; texts: the greatest). Null labels, ids and
+    texts without words teach nothing. Without labels of both kinds every line is content.
     """
     prepared(docs.sparkSession)
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good"))
-    few = known.orderBy(F.xxhash64("id"), "id", "good").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("good", "text")
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("good"))
+    few = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    rows = rows.groupBy("id").agg(F.max("good").alias("good"), F.max("text").alias("text")).select("good", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             _, lines = measured(batch.column("text"))
-            codes = pa.ListArray.from_arrays(pa.array(lines.first.astype(np.int32)), pa.array(lines.code.astype(np.int32)))
+            codes = pa.ListArray.from_arrays(pa.array(lines.first.astype(np.int32)), pa.array(lines.code.astype(np.int16)))
             yield pa.RecordBatch.from_arrays([batch.column("good"), codes], ["good", "codes"])
 
-    size = F.size("codes")
-    got = rows.mapInArrow(run, "good int, codes array<int>").filter((size > 0) & (size <= MOST_LINES)).limit(2 * sample_rows).collect()
+    got = rows.mapInArrow(run, "good int, codes array<smallint>").filter(F.size("codes") > 0).collect()
     got.sort(key=lambda r: (r["good"], r["codes"]))
     if len({r["good"] for r in got}) < 2:
         return Field.neutral()
-    return Field.fit([np.array(r["codes"]) for r in got], np.array([1 - r["good"] for r in got]))
+    return labelled_field([np.array(r["codes"], np.int64) for r in got], np.array([1 - r["good"] for r in got]))
 
 
 def quality_rules(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

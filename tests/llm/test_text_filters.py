@@ -48,12 +48,64 @@ def test_viterbi_matches_all_labellings():
         assert tuple(got[a:b]) == best
 
 
-def test_quality_keeps_good_documents(spark, sf):
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    out = Q.quality_rules(docs, Q.fit_field(docs, labels)).join(labels, "doc_id").filter("not base_failed")
-    n = {(r["quality"], r["kept"]): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
-    assert n.get((1, False), 0) <= 0.02 * n[1, True]
-    assert Q.fit_field(docs, labels.limit(0)).start[1] == -1
+def test_likelihood_and_gradient_match_all_labellings():
+    rng = np.random.default_rng(3)
+    f = Q.Field(rng.normal(size=(2, Q.N_FEATURES + 1)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    codes = [rng.integers(0, 1 << Q.N_FEATURES, n) for n in (4, 1, 6, 3)]
+    states = [rng.integers(0, 2, len(c)) for c in codes]
+    held = Q.Stretches(codes, states)
+
+    def value(f):
+        total = 0.0
+        for c, y in zip(codes, states):
+            score = Q._bits(c) @ f.weights.T
+            of = lambda z, c=c, score=score: f.start[z[0]] + sum(score[i, z[i]] for i in range(len(c))) + sum(f.moves[z[i], z[i + 1]] for i in range(len(c) - 1))
+            total += of(y) - np.logaddexp.reduce([of([(k >> i) & 1 for i in range(len(c))]) for k in range(1 << len(c))])
+        return total
+
+    got, gradient = held.likelihood(f)
+    assert got == pytest.approx(value(f))
+    theta, step = f.theta(), 1e-5
+    for i in range(len(theta)):
+        e = np.eye(len(theta))[i] * step
+        assert gradient[i] == pytest.approx((value(Q.Field.of(theta + e)) - value(Q.Field.of(theta - e))) / (2 * step), abs=1e-5)
+
+
+def test_lines_of_mixed_documents_get_their_own_labels():
+    rng = np.random.default_rng(8)
+    content, junk = (lambda n: rng.choice([0, 128], n)), (lambda n: rng.choice([3, 35, 515], n))
+    codes, truth, poor = [], [], []
+    for i in range(300):
+        poor.append(i % 3 == 0)
+        n = int(rng.integers(1, 300 if i < 9 else 20))
+        parts = [content(int(rng.integers(1, 6))), junk(n), content(int(rng.integers(0, 3)))] if poor[-1] else [content(n)]
+        codes.append(np.concatenate(parts))
+        truth.append(np.concatenate([np.full(len(p), k % 2) for k, p in enumerate(parts)]))
+    f = Q.labelled_field(codes, np.array(poor))
+    first = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+    flat = np.concatenate(codes)
+    got = f.viterbi(Q.Lines(np.repeat(np.arange(300), np.diff(first)), first, np.ones(len(flat), int), flat, np.zeros(len(flat), int)))
+    assert (got == np.concatenate(truth)).mean() > 0.99 and np.abs(f.moves).max() < 8
+
+
+def test_quality_of_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    out = Q.quality_rules(docs, Q.fit_field(docs, labels.filter(T.fold(F.col("doc_id")) != 2))).join(labels, "doc_id").filter("not base_failed").cache()
+    n = {(r["quality"], r["kept"]): r["count"] for r in out.filter(T.fold(F.col("doc_id")) == 2).groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) <= 0.02 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
+    assert out.filter("content_share > 0 and content_share < 1").count() > 0
+
+
+def test_fields_of_odd_labels(spark, docs_of):
+    docs = docs_of(ODD)
+    kind = "doc_id long, quality int"
+    assert Q.fit_field(docs, spark.createDataFrame([], kind)).start[1] == -1
+    assert Q.fit_field(docs_of([]), spark.createDataFrame([(4, 1)], kind)).start[1] == -1
+    odd = spark.createDataFrame([(4, 1), (4, 0), (4, 1), (6, 0), (7, 1), (None, 0), (5, None), (3, 0), (99, 1)], kind)
+    out = Q.quality_rules(docs, Q.fit_field(docs, odd)).collect()
+    assert len(out) == len(ODD) and all(0 <= r["content_share"] <= 1 for r in out)
+    assert Q.quality_rules(docs_of([]), Q.Field.neutral()).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark):
