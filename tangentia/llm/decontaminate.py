@@ -3,11 +3,14 @@
 A benchmark item of L words is compared with every window of L consecutive words of every
 text, and with the whole of a text that has fewer words, but enough to reach the threshold:
 both are multisets of shingles of consecutive words, and their similarity is the weighted
-Jaccard, sum of least over sum of largest multiplicities. Fingerprints of 64
+Jaccard, sum of least over sum of largest multiplicities. Fingerprints of 128
 bits, the signs of the shingles' summed +-1 vectors, choose the candidates: each is cut
-into 8 blocks of 8 bits, and two fingerprints within the radius of 23 have a block that
-differs in at most 23 // 8 = 2 bits, so that tables of each block's values give all items
-within the radius. Candidates are then verified exactly. A window that shares no shingle
+into 8 blocks of 16 bits, and two fingerprints within the radius of 31 have a block that
+differs in at most 31 // 8 = 3 bits. An index holds, by block, the items under all values
+within 3 bits of theirs, so that looking up a window's 8 values gives all items within the radius;
+of items that are not like the window 8 in 100 meet it, and their distances are counted. Similar texts of
+0.8 are 19 bits apart on average, with a deviation of 4, so that the radius holds all but 2 in 1,000 of
+those right at the threshold. Candidates are then verified exactly. A window that shares no shingle
 with an item of its length has similarity 0, and no fingerprint is made for it.
 """
 
@@ -19,24 +22,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, text_slices
-from tangentia.llm.words import U64, Words, lowered, split_words, text_bytes, windows_of
+from tangentia.llm.runtime import prepared, saved, text_slices
+from tangentia.llm.words import U64, Words, lowered, mix, split_words, text_bytes, windows_of
 
-BLOCKS, BLOCK_BITS = 8, 8
-#: Weighted Jaccard 0.8 of shingles puts about 10 of 64 bits apart; 23 is over four deviations more.
-RADIUS = 23
+BLOCKS, BLOCK_BITS = 8, 16
+RADIUS = 31
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Items that one pass holds; more are taken in further passes over the texts.
-ITEMS_A_PASS = 4096
+ITEMS_A_PASS = 1024
 SIEVE = 1 << 22
 #: Windows whose fingerprints are made at once.
-PART = 1 << 15
-_FLIPS = np.array([x for x in range(256) if bin(x).count("1") <= RADIUS // BLOCKS], np.uint8)
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+PART = 1 << 14
+#: Shingles of windows that are compared with an item at once.
+CELLS = 1 << 20
+_ONES = np.array([bin(x).count("1") for x in range(1 << BLOCK_BITS)], np.uint8)
+_FLIPS = np.flatnonzero(_ONES <= RADIUS // BLOCKS).astype(np.uint16)
 
 
 def split_lower(column: pa.Array) -> tuple[Words, np.ndarray]:
@@ -46,72 +51,96 @@ def split_lower(column: pa.Array) -> tuple[Words, np.ndarray]:
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    """+-1 by bit of each hash."""
-    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
+    """+-1 by bit of each hash and of its scrambled self."""
+    both = np.stack([hashes, mix(hashes ^ U64(0x5851F42D4C957F2D))], 1)
+    bits = np.unpackbits(both.view(np.uint8), axis=1)
     return bits.astype(np.int8) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """Eight bytes a row: whether each of 64 sums is above 0."""
-    return np.packbits(sums > 0, axis=1)
+    """Eight blocks a row: whether each of 128 sums is above 0."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ONES[a ^ b].sum(-1)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two multisets of hashes."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(n[i], m[j]).sum()
-    return float(both / (len(a) + len(b) - both)) if len(a) + len(b) else 0.0
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places of the ranges [low, high)."""
+    n = high - low
+    return np.repeat(np.arange(len(n)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 @dataclass
 class Index:
-    """The items of one length in words, with their shingles and block tables."""
+    """The items of one length in words, with their shingles (sorted, with multiplicities) and, by block, the sorted values that lead to them."""
 
     width: int
     k: int
     items: np.ndarray
-    shingles: list[np.ndarray]
+    shingles: list[tuple[np.ndarray, np.ndarray]]
     prints: np.ndarray
-    tables: np.ndarray  #: (BLOCKS, 256, items): the item has a block within reach of the value
+    values: list[np.ndarray]
+    owners: list[np.ndarray]
 
     @classmethod
-    def of(cls, width: int, k: int, items: list, shingles: list[np.ndarray]) -> Index:
+    def of(cls, width: int, k: int, items: list[int], shingles: list[np.ndarray]) -> Index:
         prints = fingerprints(np.stack([signs(s).sum(0, dtype=np.int32) for s in shingles]))
-        tables = np.zeros((BLOCKS, 256, len(items)), bool)
+        values, owners = [], []
         for b in range(BLOCKS):
-            for i in range(len(items)):
-                tables[b, prints[i, b] ^ _FLIPS, i] = True
-        return cls(width, k, np.array(items), shingles, prints, tables)
+            near = (prints[:, b, None] ^ _FLIPS).ravel()
+            order = np.argsort(near, kind="stable")
+            values.append(near[order])
+            owners.append((order // len(_FLIPS)).astype(np.int32))
+        return cls(width, k, np.array(items), [np.unique(s, return_counts=True) for s in shingles], prints, values, owners)
+
+    def met(self, prints: np.ndarray) -> np.ndarray:
+        """row * items + item of all pairs that the index leads to, sorted."""
+        pairs = []
+        for b in range(BLOCKS):
+            row, place = spread(np.searchsorted(self.values[b], prints[:, b], "left"), np.searchsorted(self.values[b], prints[:, b], "right"))
+            pairs.append(row * len(self.items) + self.owners[b][place])
+        return np.unique(np.concatenate(pairs))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of all pairs within the radius, by the block tables."""
-        near = self.tables[0, prints[:, 0]].copy()
-        for b in range(1, BLOCKS):
-            near |= self.tables[b, prints[:, b]]
-        row, item = np.nonzero(near)
+        """(row, item) of all pairs within the radius."""
+        row, item = np.divmod(self.met(prints), len(self.items))
         close = distance(prints[row], self.prints[item]) <= RADIUS
         return row[close], item[close]
 
-
-def indexes(items: list, column: pa.Array, k: int) -> tuple[list[Index], np.ndarray]:
-    """(indexes by length, sorted distinct shingles). Items without words match nothing."""
+    def similarities(self, keys: np.ndarray, start: np.ndarray, span: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard of each window, the shingles keys[start : start + span], with the item."""
+        out = np.zeros(len(start))
+        order = np.argsort(item, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+            held, times = self.shingles[item[own[0]]]
+            step = max(1, CELLS // int(span[own].max()))
+            for i in range(0, len(own), step):
+                some = own[i : i + step]
+                row, place = spread(start[some], start[some] + span[some])
+                key = keys[place]
+                at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+                hit = held[at] == key
+                n = np.bincount(row[hit] * len(held) + at[hit], minlength=len(some) * len(held)).reshape(len(some), -1)
+                both = np.minimum(n, times).sum(1)
+                out[some] = both / (span[some] + times.sum() - both)
+        return out
+
+
+def indexes(column: pa.Array, k: int) -> tuple[list[Index], np.ndarray]:
+    """(indexes of a column's texts by length, sorted distinct shingles). Texts without words match nothing."""
     words, hashes = split_lower(column)
     by_width = defaultdict(lambda: ([], []))
-    for i, item in enumerate(items):
+    for i in range(len(column)):
         a, b = words.first[i], words.first[i + 1]
         if b > a:
             own = Words(words.raw, words.begin[a:b], words.end[a:b], np.zeros(b - a, np.int64), np.array([0, b - a]))
             size = min(k, int(b - a))
-            by_width[int(b - a), size][0].append(item)
+            by_width[int(b - a), size][0].append(i)
             by_width[int(b - a), size][1].append(windows_of(own, hashes[a:b], size)[1])
     found = [Index.of(w, size, *both) for (w, size), both in sorted(by_width.items())]
-    return found, np.unique(np.concatenate([s for x in found for s in x.shingles])) if found else np.empty(0, U64)
+    return found, np.unique(np.concatenate([s for x in found for s, _ in x.shingles])) if found else np.empty(0, U64)
 
 
 def window_starts(near: np.ndarray, first: np.ndarray, doc: np.ndarray, size: np.ndarray, width: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +164,11 @@ def window_starts(near: np.ndarray, first: np.ndarray, doc: np.ndarray, size: np
     return starts[order], spans[order]
 
 
-def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.ndarray, threshold: float) -> Iterator[tuple[int, object, int, int, float]]:
-    """(row, item, first word, words, similarity) of the best window of each text and item, of equal ones the first."""
+def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Columns row, item, first word, words, similarity: of the best window of each text and item, of equal ones the first."""
     words, hashes = split_lower(column)
     size = np.diff(words.first)
-    at_of, best = {}, {}
+    at_of, got = {}, [(np.empty(0, np.int64),) * 4 + (np.empty(0),)]
     for index in found:
         if index.k not in at_of:
             at, key = windows_of(words, hashes, index.k)
@@ -150,9 +179,7 @@ def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.nda
             good = known[place] == key[hit]
             at_of[index.k] = (at[hit][good], key[hit][good], all_keys)
         at, key, all_keys = at_of[index.k]
-        if not len(at):
-            continue
-        near = at[np.isin(key, np.concatenate(index.shingles))]
+        near = at[np.isin(key, np.concatenate([s for s, _ in index.shingles]))] if len(at) else at
         if not len(near):
             continue
         starts, spans = window_starts(near, words.first, words.doc, size, index.width, index.k, threshold)
@@ -165,21 +192,20 @@ def leaks(column: pa.Array, found: list[Index], known: np.ndarray, sieve: np.nda
             np.add.at(edge, own - own[0] + span, -1)
             touched = np.cumsum(edge[:-1]) > 0
             row_of = np.cumsum(touched) - 1
-            total = np.zeros((touched.sum() + 1, 64), np.int32)
+            total = np.zeros((touched.sum() + 1, BLOCKS * BLOCK_BITS), np.int32)
             np.cumsum(signs(all_keys[own[0] + np.flatnonzero(touched)]), axis=0, out=total[1:])
             a = row_of[own - own[0]]
-            prints = fingerprints(total[a + span] - total[a])
-            row, item = index.candidates(prints)
-            for r, j in zip(row.tolist(), item.tolist()):
-                start, n = int(own[r]), int(span[r])
-                s = similarity(all_keys[start : start + n], index.shingles[j])
-                if s >= threshold:
-                    doc = int(words.doc[start])
-                    old = best.get((doc, index.items[j]))
-                    if old is None or s > old[2]:
-                        best[doc, index.items[j]] = (start - int(words.first[doc]), n + index.k - 1, s)
-    for (doc, item), (start, width, s) in sorted(best.items()):
-        yield doc, item, start, width, s
+            row, item = index.candidates(fingerprints(total[a + span] - total[a]))
+            s = index.similarities(all_keys, own[row], span[row], item)
+            row, item, s = row[s >= threshold], item[s >= threshold], s[s >= threshold]
+            doc = words.doc[own[row]]
+            got.append((doc, index.items[item], own[row] - words.first[doc], span[row] + index.k - 1, s))
+    doc, item, start, n, s = (np.concatenate(x) for x in zip(*got))
+    order = np.lexsort((start, -s, item, doc))
+    doc, item, start, n, s = (x[order] for x in (doc, item, start, n, s))
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    return [x[first] for x in (doc, item, start, n, s)]
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -187,38 +213,39 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; items of fewer than `shingle` words are
     one shingle. Null and empty texts and items match nothing; repeated rows give repeated
-    rows; items need distinct non-null ids, of which the first by text counts. The items
-    of one pass are ITEMS_A_PASS at most, so that what is sent to executors is bounded; a larger
+    rows. Distinct rows of the benchmark are items of their own, whatever their ids, null ones
+    included; rows that are alike are one. Other columns are not read. The items
+    of one pass are ITEMS_A_PASS at most, which bounds their number, not their texts' lengths, in what executors get; a larger
     benchmark takes further passes over the texts. No shuffle.
     """
     spark = prepared(docs.sparkSession)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item_col).alias("item")).agg(F.min(item_text).alias("text"))
+    kind, item_field = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col]
+    items = saved(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter(F.length("text") > 0).distinct())
     n_parts = max(1, -(-items.count() // ITEMS_A_PASS))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    schema = f"id {kind}, item {item_kind}, first_word long, n_words long, similarity double"
+    schema = f"id {kind}, item {item_field.dataType.simpleString()}, first_word long, n_words long, similarity double"
     out = None
     for part in range(n_parts):
-        own = items.orderBy("item").offset(part * ITEMS_A_PASS).limit(ITEMS_A_PASS).collect()
-        sent = spark.sparkContext.broadcast(([r["item"] for r in own], [r["text"] for r in own]))
+        own = items.orderBy("item", "text").offset(part * ITEMS_A_PASS).limit(ITEMS_A_PASS).toArrow().combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as writer:
+            writer.write_table(own)
+        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, texts = sent.value
-            found, known = indexes(names, pa.array(texts, pa.string()), shingle)
+            own = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+            if not own.num_rows:
+                return
+            names, texts = (own.column(x).chunk(0) for x in ("item", "text"))
+            found, known = indexes(texts, shingle)
             sieve = np.zeros(SIEVE, bool)
             sieve[(known & U64(SIEVE - 1)).astype(np.int64)] = True
             if not found:
                 return
             for batch in text_slices(batches):
-                got = list(leaks(batch.column("text"), found, known, sieve, threshold))
-                ids = batch.column("id").take(pa.array([g[0] for g in got], pa.int64()))
-                columns = [ids, pa.array([g[1].item() if hasattr(g[1], "item") else g[1] for g in got], batch_kind(item_kind)), *(pa.array([g[i] for g in got], pa.int64()) for i in (2, 3)), pa.array([g[4] for g in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "item", "first_word", "n_words", "similarity"])
+                row, item, *rest = leaks(batch.column("text"), found, known, sieve, threshold)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), names.take(pa.array(item)), *map(pa.array, rest)], ["id", "item", "first_word", "n_words", "similarity"])
 
         one = rows.mapInArrow(run, schema)
         out = one if out is None else out.unionAll(one)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def batch_kind(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]

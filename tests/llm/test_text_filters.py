@@ -8,9 +8,10 @@ import pytest
 from samples import ODD
 from pyspark.sql import functions as F
 
+from tangentia.llm import decontaminate as D
 from tangentia.llm import quality_rules as Q
 from tangentia.llm import toxicity as T
-from tangentia.llm.decontaminate import RADIUS, Index, benchmark_leaks, distance, fingerprints
+from tangentia.llm.decontaminate import RADIUS, Index, benchmark_leaks, distance, fingerprints, signs
 from tangentia.llm.toxicity import score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -198,20 +199,44 @@ def test_texts_shorter_than_an_item_are_compared_whole(spark, docs_of):
     assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k]) for k in wanted)
 
 
-def test_block_tables_give_all_within_the_radius():
+def test_index_gives_all_within_the_radius_and_little_else():
     rng = np.random.default_rng(2)
     index = Index.of(9, 5, list(range(40)), [rng.integers(0, 1 << 63, 5, dtype=np.uint64) for _ in range(40)])
-    near = index.prints[rng.integers(0, 40, 3000)] ^ np.packbits(rng.random((3000, 64)) < 0.25, axis=1)
+    near = index.prints[rng.integers(0, 40, 3000)] ^ np.packbits(rng.random((3000, 128)) < 0.2, axis=1).view(np.uint16)
     row, item = index.candidates(near)
     every = np.argwhere(distance(near[:, None], index.prints[None]) <= RADIUS)
     assert set(zip(row.tolist(), item.tolist())) == {tuple(x) for x in every.tolist()}
-    assert fingerprints(np.array([[1] + [0] * 63]))[0, 0] == 128
-
-
-def test_leaks_of_odd_rows(spark, docs_of):
-    items = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (None, "x"), (4, "one")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(docs_of(ODD), items).collect()}
-    assert got == {(None, 1), (4, 4)}
-    assert benchmark_leaks(docs_of([]), items).count() == 0
-    assert benchmark_leaks(docs_of(ODD), items.limit(0)).count() == 0
-    assert benchmark_leaks(docs_of(ODD), items).agg(F.count("*")).first()[0] == 3
+    assert fingerprints(np.array([[1] + [0] * 127]))[0, 0] == 128
+    assert len(index.met(rng.integers(0, 1 << 16, (3000, 8)).astype(np.uint16))) < 0.1 * 3000 * 40
+
+
+def test_fingerprints_recall_similar_windows():
+    rng = np.random.default_rng(6)
+    found, wanted, exact = 0, 0, []
+    for _ in range(300):
+        n = int(rng.integers(20, 90))
+        item = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        window = item.copy()
+        other = rng.permutation(n)[: int(rng.integers(0, n // 9 + 1))]
+        window[other] = rng.integers(0, 1 << 63, len(other), dtype=np.uint64)
+        index = Index.of(n + 4, 5, [0], [item])
+        s = index.similarities(window, np.array([0]), np.array([n]), np.array([0]))[0]
+        a, b = Counter(window.tolist()), Counter(item.tolist())
+        exact.append(abs(s - (a & b).total() / (a | b).total()))
+        if s >= 0.8:
+            wanted += 1
+            found += len(index.candidates(fingerprints(signs(window).sum(0, dtype=np.int32)[None]))[0])
+    assert max(exact) < 1e-12 and wanted > 250 and found >= 0.99 * wanted
+
+
+def test_leaks_of_odd_rows(spark, docs_of, monkeypatch):
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (None, "f e d c b a"), (4, "one"), (4, "one"), (4, "x y z u v w")], "item_id long, text string")
+    docs = docs_of([*ODD, (20, "f e d c b a q"), (21, "x y z u v w x y z u v w")])
+    for most in (1024, 1):
+        monkeypatch.setattr(D, "ITEMS_A_PASS", most)
+        got = sorted(((r["doc_id"] or 0, r["item_id"] or 0, r["first_word"], r["n_words"]) for r in benchmark_leaks(docs, items).collect()))
+        assert got == [(0, 1, 0, 6), (4, 4, 0, 1), (4, 4, 0, 1), (20, 0, 0, 6), (21, 4, 0, 6)]
+        assert benchmark_leaks(docs_of([]), items).count() == 0
+        assert benchmark_leaks(docs_of(ODD), items.limit(0)).count() == 0
+    named = benchmark_leaks(docs, items.select(F.col("item_id").cast("decimal(9,0)").alias("item_id"), "text"))
+    assert named.count() == 5
