@@ -159,11 +159,14 @@ def firsts(key: np.ndarray, first: np.ndarray, num: int, den: int, share: float)
     return mix(key[take] + U64(3)), np.concatenate([[0], np.cumsum(held)])
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all linked pairs by the token-group matrix; side: only pairs of side 0 with side 1, or all if there is one side."""
-    none = np.empty(0, np.int64)
+def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all linked pairs by the token-group matrix, some at a time; side: only pairs of side 0 with side 1, or all if there is one side.
+
+    What is held grows with the sets' shingles, and not with the pairs.
+    """
     if len(sets) < 2:
-        return none, none
+        return
+    two_sides = side.any()
     size = np.array([len(s) for s in sets])
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(len(sets)), size)
@@ -177,7 +180,7 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple
     token, doc = token[keep], doc[keep]
     members = np.flatnonzero(stay)
     if len(members) < 2:
-        return none, none
+        return
     first = np.searchsorted(doc, np.arange(len(sets) + 1))
     sketch = np.full((len(sets), 2), np.iinfo(np.int64).max)
     full = members[first[members + 1] > first[members]]
@@ -191,7 +194,6 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple
     token, at = token[by_rank], rank[doc[by_rank]]
     edge = np.searchsorted(at, np.arange(len(order) + 1))
     n = size[order]
-    out = []
     for g in range(0, len(order), GROUP):
         own = slice(edge[g], edge[min(g + GROUP, len(order))])
         union, place = np.unique(token[own], return_inverse=True)
@@ -218,34 +220,47 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple
             q, m = np.nonzero(den * both >= num * (n[g + some][:, None] + sizes[None, :] - both))
             q = some[q]
             later = q > m
-            out.append((order[g + q[later]], order[g + m[later]]))
+            i, j = order[g + q[later]], order[g + m[later]]
+            if two_sides:
+                cross = side[i] != side[j]
+                i, j = i[cross], j[cross]
+            if len(i):
+                yield i, j
         column[union] = -1
-    if not out:
-        return none, none
-    i, j = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    if side.any():
-        cross = side[i] != side[j]
-        i, j = i[cross], j[cross]
-    return i, j
-
-
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that connect what all the pairs connect."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        p, q = find(a), find(b)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((a, b))
-    return out
+
+
+class Forest:
+    """Which of n sets the pairs so far connect."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def added(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the pairs that are enough to connect what they connect anew."""
+        p, q = self.root[i], self.root[j]
+        new = np.flatnonzero(p != q)
+        if not len(new):
+            return []
+        _, first = np.unique(np.minimum(p, q)[new] * len(self.root) + np.maximum(p, q)[new], return_index=True)
+        own: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while own.get(x, x) != x:
+                own[x] = own.get(own[x], own[x])
+                x = own[x]
+            return x
+
+        out = []
+        for k in new[first].tolist():
+            a, b = find(int(p[k])), find(int(q[k]))
+            if a != b:
+                own[max(a, b)] = min(a, b)
+                out.append((int(i[k]), int(j[k])))
+        at = np.arange(len(self.root))
+        for x in own:
+            at[x] = find(x)
+        self.root = at[self.root]
+        return out
 
 
 def size_level(size: np.ndarray) -> np.ndarray:
@@ -340,14 +355,14 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
         s = list(seen)
         block = np.array([seen[x][0] for x in s])
         members = np.array([seen[x][1] for x in s])
-        i, j = links([np.frombuffer(seen[x][2], U64) for x in s], (block != block[0]).astype(np.int64) if len(s) else block, num, den)
-        if len(i):
-            own, level = np.array([seen[x][3] for x in s]), seen[s[0]][4]
-            here = np.maximum(own[i], own[j]) == level
+        own = np.array([seen[x][3] for x in s])
+        forest, degree = Forest(len(s)), np.zeros(len(s))
+        for i, j in links([np.frombuffer(seen[x][2], U64) for x in s], (block != block[0]).astype(np.int64) if len(s) else block, num, den):
+            here = np.maximum(own[i], own[j]) == seen[s[0]][4]
             i, j = i[here], j[here]
-        for a, b in spanning(i, j, len(s)):
-            yield s[a], s[b], 0
-        degree = np.bincount(i, members[j], len(s)) + np.bincount(j, members[i], len(s)) if len(i) else np.zeros(len(s))
+            for a, b in forest.added(i, j):
+                yield s[a], s[b], 0
+            degree += np.bincount(i, members[j], len(s)) + np.bincount(j, members[i], len(s))
         for a in np.flatnonzero(degree):
             yield s[a], s[a], int(degree[a])
 

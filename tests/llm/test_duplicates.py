@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from samples import ODD
 
+from tangentia.llm import jaccard_join as J
 from tangentia.llm.components import components
-from tangentia.llm.jaccard_join import first_shared, jaccard_components, links, spanning
+from tangentia.llm.jaccard_join import Forest, first_shared, jaccard_components, links
 from tangentia.llm.substring_dedup import dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,11 +132,37 @@ def test_matrix_finds_all_links():
         b[:n] = rng.integers(0, 1 << 60, n, dtype=np.uint64)
         sets.append(np.unique(b))
     for side in (np.zeros(300, int), np.arange(300) % 2):
-        i, j = links(sets, side, 9, 10)
+        i, j = (np.concatenate(x) for x in zip(*links(sets, side, 9, 10)))
         got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
         want = {(a, b) for a in range(300) for b in range(a + 1, 300) if (not side.any() or side[a] != side[b]) and 10 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 9 * (len(sets[a]) + len(sets[b]) - n)}
         assert got == want and len(i) == len(want)
-    assert len(spanning(i, j, 300)) < len(i)
+    forest = Forest(300)
+    kept = [x for k in range(0, len(i), 50) for x in forest.added(i[k : k + 50], j[k : k + 50])]
+    assert len(kept) == 300 - len(np.unique(forest.root)) < len(i)
+    assert (forest.root[i] == forest.root[j]).all()
+
+
+def test_many_near_copies_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, 20, dtype=np.uint64)
+    sets = [np.unique(np.append(base[:19], U)) for U in rng.integers(0, 1 << 60, 5000, dtype=np.uint64)]
+    forest, degree = Forest(5000), np.zeros(5000, int)
+    tracemalloc.start()
+    for i, j in links(sets, np.zeros(5000, int), 90, 100):
+        forest.added(i, j)
+        degree += np.bincount(i, minlength=5000) + np.bincount(j, minlength=5000)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert (degree == 4999).all() and (forest.root == 0).all()
+
+
+def test_partitions_in_several_blocks(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 400)
+    rows = families(3)
+    out = jaccard_components(docs_of(rows), 3, 90, 100).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in out) == brute_components(rows, 3, 90, 100)
 
 
 def test_first_shingles_are_enough():
