@@ -45,6 +45,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rested(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage, and so return heap that earlier stages have taken, which Python workers then can use."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a session without other machines may leave it unset."""
     told = spark.conf.get("spark.checkpoint.dir", None)
