@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, saved, text_slices
+from tangentia.llm.runtime import prepared, saved, text_slices, written
 from tangentia.llm.url_filter import url_parts
 from tangentia.llm.words import span_hashes
 
@@ -286,14 +286,14 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     Character references are decoded, white space in a block becomes one space, blocks are
     joined by one space in page order. Null and empty pages have an empty text; pages without
     a host form one site. Rows stay as they are, and repeated rows count as pages. Pages are parsed once, into a
-    checkpoint. The counts of all pages of a host are taken before shuffling; the pages meet their host's nodes
+    table in the shared folder. The counts of all pages of a host are taken before shuffling; the pages meet their host's nodes
     where they are, or, if these are more than SENT_NODES, by a join that splits large hosts.
     """
     prepared(pages.sparkSession)
     host = url_parts(pages[url_col])[0]
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     row = F.struct(*[pages[c] for c in keep]).alias("row")
-    parsed = saved(_parsed(pages.select(row, host.alias("host"), pages[html_col].alias("html"))))
+    parsed = written(_parsed(pages.select(row, host.alias("host"), pages[html_col].alias("html"))))
     found = style_importance(parsed.select("host", "blocks", "nodes"))
     least = F.least(F.lit(least_importance), SHARE * F.col("best"))
     judged = found.groupBy("host").agg(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import os
 import re
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -45,6 +48,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which later passes read by column; compressed, unlike a checkpoint. It goes when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir() or shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):
+            files.delete(place, True)
+
+    atexit.register(gone)
+    return spark.read.parquet(path)
+
+
 def rested(spark: SparkSession) -> None:
     """Let the executors' JVMs collect their garbage, and so return heap that earlier stages have taken, which Python workers then can use."""
     n = 2 * spark.sparkContext.defaultParallelism
