@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.functions import Geometry, Product, from_spec
+from tangentia.functions import Geometry, PoincareBall, Product, from_spec
 from tangentia.functions.base import expm, orthonormal, signed_columns, skew, sym, t
 from tangentia.functions.columns import POINT, add, columns, dot, let, scale, total
 from tangentia.functions.matrices import by_eigen, scaled
@@ -99,7 +99,8 @@ def converted(geometry: Geometry, c: Column, representation: str) -> Column:
     if name == "torus" and representation in ("unit_circle", "circle_pairs"):
         return F.transform(F.sequence(F.lit(0), F.lit(size[0] - 1)), lambda i: F.atan2(F.get(c, 2 * i + 1), F.get(c, 2 * i)))
     if name == "hyperboloid" and representation in ("poincare", "poincare_ball"):
-        return let(dot(c, c), lambda r: F.concat(F.array((1 + r) / (1 - r)), F.transform(c, lambda v: 2 * v / (1 - r))))
+        inside = columns(PoincareBall(size[0] - 1, atol=geometry.atol)).project(c)
+        return let(inside, lambda p: let(dot(p, p), lambda r: F.concat(F.array((1 + r) / (1 - r)), F.transform(p, lambda v: 2 * v / (1 - r)))))
     if name == "poincare" and representation == "hyperboloid":
         return F.transform(F.slice(c, 2, size[0]), lambda v: v / (1 + F.get(c, 0)))
     if name == "simplex" and representation in ("positive", "positive_weights"):

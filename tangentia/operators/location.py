@@ -20,7 +20,7 @@ from tangentia.functions import Geometry
 from tangentia.functions.columns import columns
 from tangentia.operators.data import bound
 from tangentia.operators.pairs import distances, stacked
-from tangentia.session import reachable, summed_arrays
+from tangentia.session import cut, reachable, summed_arrays
 
 #: Groups whose points the driver may hold.
 MOST_GROUPS = 100_000
@@ -106,9 +106,13 @@ def moments(geometry: Geometry, df: DataFrame, bases: dict, point: str, group: s
 
 def start_points(geometry: Geometry, df: DataFrame, point: str, group: str | None, power: int = 2) -> dict:
     """By group: the medoid of the START_ROWS rows with the least hash."""
-    key = F.lit(0).alias("g") if group is None else F.col(group).alias("g")
-    h = F.struct(F.xxhash64(point).alias("h"), F.col(point).alias("x"))
-    rows = df.select(key, F.col("_w"), F.col(point)).filter("_w > 0").groupBy("g").agg(F.slice(F.array_sort(F.collect_list(h)), 1, START_ROWS).alias("x")) if group is not None else None
+    rows = None
+    if group is not None:
+        # One row of each of START_ROWS parts of a group, so that no task gathers a group.
+        h = F.xxhash64(point)
+        part = df.filter("_w > 0").select(F.col(group).alias("g"), F.pmod(h, F.lit(START_ROWS)).alias("p"), h.alias("h"), F.col(point).alias("x"), "_w")
+        few = part.groupBy("g", "p").agg(F.min_by(F.struct("x", "_w"), F.col("h")).alias("r"))
+        rows = few.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(F.col("r.x").alias("x"), F.col("r._w").alias("w")))).alias("x"))
     if rows is None:
         few = df.filter("_w > 0").select(F.xxhash64(point).alias("h"), F.col(point).alias("x"), "_w").orderBy("h").limit(START_ROWS).collect()
         if not few:
@@ -118,7 +122,7 @@ def start_points(geometry: Geometry, df: DataFrame, point: str, group: str | Non
     out = {}
     for r in rows.limit(MOST_GROUPS + 1).toLocalIterator():
         x = stacked(geometry, [e["x"] for e in r["x"]])
-        out[r["g"]] = x[int((distances(geometry, x, x) ** power).sum(1).argmin())]
+        out[r["g"]] = x[int((distances(geometry, x, x) ** power @ np.array([e["w"] for e in r["x"]])).argmin())]
     if len(out) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups")
     return out
@@ -371,19 +375,32 @@ def geodesic_spatial_depth(geometry: Geometry, points: DataFrame, reference: Dat
 def metric_distance_ranks(geometry: Geometry, df: DataFrame, point: str = "point", id_col: str = "id", center=None, weight: str | None = None) -> DataFrame:
     """df with `score` (the distance to the centre, the median by default) and `rank`: the midrank / n.
 
-    Scores that agree to 9 digits are ties. One count per different score is put in order, not the rows.
+    Scores that agree to 9 digits are ties. One count per different score is put in order, by ranges, not the rows.
     """
-    from pyspark.sql import Window as W
-
     c = frechet_median(geometry, df, point, weight).point if center is None else np.asarray(center, float)
     rows = _distance_column(geometry, df, point, c, "score").withColumn("_tie", F.round("score", 9))
-    counts = rows.groupBy("_tie").agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(W.orderBy("_tie").rowsBetween(W.unboundedPreceding, -1))
-    total = F.sum("_n").over(W.partitionBy())
-    ranks = counts.select("_tie", ((F.coalesce(below, F.lit(0)) + 0.5 * (F.col("_n") + 1)) / total).alias("rank"))
+    counts = rows.groupBy("_tie").agg(F.count("*").cast("double").alias("_n"))
+    ranked, total = running_sums(counts, "_tie", "_n")
+    ranks = ranked.select("_tie", ((F.col("_before") + 0.5 * (F.col("_n") + 1)) / total).alias("rank"))
     return rows.join(ranks, "_tie").drop("_tie")
 
 
+def running_sums(df: DataFrame, order: str, value: str) -> tuple[DataFrame, float]:
+    """(df with `_before`: the sum of a column over the rows before in order, the whole sum). Rows are dealt by ranges of the order, of which only the sums meet."""
+    from pyspark.sql import Window as W
+
+    parts = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sums = {r["_p"]: r["s"] for r in parts.groupBy("_p").agg(F.sum(value).alias("s")).collect()}
+    before, total = {}, 0.0
+    for p in sorted(sums):
+        before[p], total = total, total + sums[p]
+    own = F.coalesce(F.sum(value).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    if not before:
+        return parts.withColumn("_before", F.lit(0.0)).drop("_p"), 0.0
+    starts = df.sparkSession.createDataFrame(list(before.items()), "_p int, _start double")
+    return parts.join(F.broadcast(starts), "_p").withColumn("_before", own + F.col("_start")).drop("_p", "_start"), total
+
+
 def streaming_fold(geometry: Geometry, points: np.ndarray, weights: np.ndarray, start: np.ndarray | None = None, mass: float = 0.0) -> tuple[np.ndarray | None, float]:
     """The inductive mean: each point of positive weight moves it by w / (mass so far with w)."""
     at = start if mass > 0 else None
@@ -396,40 +413,80 @@ def streaming_fold(geometry: Geometry, points: np.ndarray, weights: np.ndarray,
 
 
 def streaming_frechet_mean(geometry: Geometry, df: DataFrame, point: str = "point", order: str = "id", weight: str | None = None, initial_point=None, initial_weight: float = 0.0) -> Location:
-    """One pass in the order of a column. A start point counts only with a positive initial_weight, on the scale where all rows weigh 1.
+    """One pass over the rows. A start point counts only with a positive initial_weight, on the scale where all rows weigh 1.
 
-    Rows are read partition by partition from a range-partitioned order; the driver holds one partition at a time.
+    Rows are dealt by ranges of the order; each task folds its own in order, and the tasks' means, with
+    their weights, are folded in the order of the ranges. In flat geometries that is the fold of
+    all rows; in curved ones it differs from it as folds in two orders do. frechet_mean minimises the cost.
     """
     if initial_weight < 0 or (initial_weight > 0 and initial_point is None):
         raise ValueError("initial_weight is not negative and needs an initial_point")
     df = normalized_weights(df, weight)
+    reachable(df.sparkSession)
+
+    def fold(parts):
+        at, mass, rows, least = None, 0.0, 0, None
+        for pdf in parts:
+            at, mass = streaming_fold(geometry, stacked(geometry, pdf["x"]), pdf["w"].to_numpy(float), at, mass)
+            rows, least = rows + len(pdf), pdf["p"].iloc[0] if len(pdf) else least
+        if at is not None:
+            yield pd.DataFrame({"p": [least], "x": [at.ravel()], "w": [mass], "n": [rows]})
+
+    dealt = df.select(F.col(order).alias("o"), F.col(point).alias("x"), F.col("_w").alias("w")).repartitionByRange("o").sortWithinPartitions("o")
+    dealt = dealt.select(F.spark_partition_id().alias("p"), "x", "w")
+    found = sorted(dealt.mapInPandas(fold, "p int, x array<double>, w double, n long").collect(), key=lambda r: r["p"])
     at = None if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
-    mass, rows, block = initial_weight, 0, []
-    for r in df.select(order, point, "_w").orderBy(order).toLocalIterator():
-        block.append(r)
-        if len(block) == 4096:
-            at, mass = streaming_fold(geometry, stacked(geometry, [b[1] for b in block]), [b[2] for b in block], at, mass)
-            rows, block = rows + len(block), []
-    at, mass = streaming_fold(geometry, stacked(geometry, [b[1] for b in block]), [b[2] for b in block], at, mass)
-    return Location(at, math.nan, rows + len(block), True, "one pass", diagnostics={"mass": mass})
+    at, mass = streaming_fold(geometry, stacked(geometry, [r["x"] for r in found]), [r["w"] for r in found], at, initial_weight)
+    return Location(at, math.nan, sum(r["n"] for r in found), True, "one pass", diagnostics={"mass": mass})
+
+
+#: Rows whose batches one task takes one after another; the tasks' results are averaged after each epoch.
+TASK_ROWS = 65_536
+
+
+def minibatch_epoch(df: DataFrame, seed: int, epoch: int, n: int, point: str, id_col: str, task, fields: str) -> list:
+    """Rows of task(points, weights, number of the task) over df (with `_w`), dealt anew by the epoch and put in an order of hashes; one job."""
+    reachable(df.sparkSession)
+    tasks = max(1, math.ceil(n / TASK_ROWS))
+    u = hash_uniform(seed + epoch, id_col)
+    dealt = df.filter("_w > 0").select(F.floor(u * tasks).cast("int").alias("t"), u.alias("u"), F.col(point).alias("x"), F.col("_w").alias("w"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u", kind="stable")
+        return pd.DataFrame(task(pdf["x"], pdf["w"].to_numpy(float)))
+
+    return dealt.groupBy("t").applyInPandas(run, fields).collect()
 
 
 def minibatch_frechet_mean(geometry: Geometry, df: DataFrame, seed: int, point: str = "point", id_col: str = "id", batch_size: int = 32, epochs: int = 10, weight: str | None = None, initial_point=None, learning_rate: float = 1.0, decay: float = 0.1, tol: float = 1e-6) -> Location:
-    """Steps of learning_rate / (1 + decay k) by hash-dealt batches; a batch is one aggregate, an epoch deals anew."""
+    """Steps of learning_rate / (1 + decay k) by hash-dealt batches; an epoch deals anew and is one job.
+
+    Up to TASK_ROWS rows are one task, which takes its batches one after another. Of more
+    rows every task does so from the epoch's start, and the means they reach are averaged by their weights.
+    """
     df = normalized_weights(df, weight)
     n = df.count()
     at = start_points(geometry, df, point, None)[0] if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
-    k, parts = 0, max(1, round(n / batch_size))
+    k = 0
     for e in range(epochs):
-        most, dealt = 0.0, df.withColumn("_b", F.floor(hash_uniform(seed + e, id_col) * parts).cast("int"))
-        for b in range(parts):
-            got = moments(geometry, dealt.filter(F.col("_b") == b), {0: at}, point, None).get(0)
-            if got is None:
-                continue
-            step = (learning_rate / (1 + decay * k)) * got[0] / got[1]
-            moved = geometry.exp(at[None], step[None])[0]
-            most, at, k = max(most, float(geometry.dist(at[None], moved[None])[0])), moved, k + 1
-        if most <= tol:
+        begin, done = at, k
+
+        def task(x, w, begin=begin, done=done):
+            x, here, most, k = stacked(geometry, x), begin, 0.0, done
+            for i in range(0, len(x), batch_size):
+                u = geometry.log(here[None], x[i : i + batch_size])
+                own = w[i : i + batch_size]
+                step = (learning_rate / (1 + decay * k)) * (u * own.reshape((-1,) + (1,) * geometry.axes)).sum(0) / own.sum()
+                moved = geometry.exp(here[None], step[None])[0]
+                most, here, k = max(most, float(geometry.dist(here[None], moved[None])[0])), moved, k + 1
+            return {"x": [here.ravel()], "w": [w.sum()], "most": [most], "k": [k - done]}
+
+        got = minibatch_epoch(df, seed, e, n, point, id_col, task, "x array<double>, w double, most double, k long")
+        w = np.array([r["w"] for r in got])
+        u = geometry.log(begin[None], stacked(geometry, [r["x"] for r in got]))
+        at = geometry.exp(begin[None], (u * (w / w.sum()).reshape((-1,) + (1,) * geometry.axes)).sum(0)[None])[0]
+        k += max(r["k"] for r in got)
+        if max(r["most"] for r in got) <= tol:
             return Location(at, math.nan, e + 1, True, "movement tolerance")
     return Location(at, math.nan, epochs, False, "epoch limit")
 
@@ -453,20 +510,23 @@ def bootstrap_frechet_mean(geometry: Geometry, df: DataFrame, seed: int, point:
 
 
 def lightweight_coreset(geometry: Geometry, df: DataFrame, size: int, seed: int, point: str = "point", id_col: str = "id", weight: str | None = None) -> DataFrame:
-    """`size` draws with replacement: (id, point, weight of sum 1) with sensitivities half w and half w d^2 / sum.
+    """`size` systematic draws: (id, point, weight of sum 1) with sensitivities half w and half w d^2 / sum.
 
-    Each draw is an exponential race over the rows, one max_by for all draws.
+    Rows lie in an order of hashes, each as long as its sensitivity; the draws are equally far apart
+    along them, from a random start. A row is drawn as often as draws fall on it.
     """
     df = normalized_weights(df, weight)
     m = frechet_mean(geometry, df, point, weight)
     rows = _distance_column(geometry, df, point, m.point).withColumn("_c", F.col("_w") * F.pow("_d", 2))
     s = rows.agg(F.sum("_c")).first()[0] or 0.0
     share = 0.5 * F.col("_w") + (0.5 * F.col("_c") / s if s > 0 else 0.5 * F.col("_w"))
-    rows = rows.withColumn("_s", share).filter("_s > 0")
-    race = [F.min_by(F.struct(F.col(id_col).alias("id"), F.col(point).alias("x"), (F.col("_w") / (size * F.col("_s"))).alias("w")), -F.log(hash_uniform(seed + k, id_col)) / F.col("_s")).alias(f"r{k}") for k in range(size)]
-    drawn = rows.agg(*race).select(F.explode(F.array(*[F.col(f"r{k}") for k in range(size)])).alias("r")).groupBy(F.col("r.id").alias(id_col)).agg(F.first("r.x").alias(point), F.sum("r.w").alias("weight"))
-    total = drawn.agg(F.sum("weight")).first()[0]
-    return drawn.withColumn("weight", F.col("weight") / total)
+    rows, total = running_sums(rows.withColumn("_s", share).filter("_s > 0").withColumn("_u", hash_uniform(seed, id_col)), "_u", "_s")
+    begin = float(np.random.default_rng(seed).random())
+    upto = lambda c: F.ceil(c / total * size - begin)
+    times = F.least(upto(F.col("_before") + F.col("_s")), F.lit(size)) - F.least(upto(F.col("_before")), F.lit(size))
+    drawn = cut(rows.select(F.col(id_col), F.col(point), (times * F.col("_w") / (size * F.col("_s"))).alias("weight")).filter(times > 0))
+    whole = drawn.agg(F.sum("weight")).first()[0]
+    return drawn.withColumn("weight", F.col("weight") / whole)
 
 
 def extrinsic_mean(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None) -> DataFrame:

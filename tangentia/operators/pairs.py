@@ -3,6 +3,12 @@
 The two sides meet in blocks: each side is dealt into blocks by its id, and one task holds
 one block of each, so that memory is bounded whatever the tables' sizes, and a block of
 distances is one call of the batched kernels.
+
+Joins by radius and nearest neighbours of metric distances meet in cells: a row of the right side lies
+in the cell of its nearest pivot, and a row of the left side visits only cells that
+the triangle inequality leaves open. If x lies in the cell of p, and y is within r of x,
+then d(y, p) <= r + d(x, p) <= r + d(x, q) <= 2 r + d(y, q) for all pivots q, and d(y, p) is at most
+r more than the cell's radius. Cells of many rows are dealt into blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +23,16 @@ from pyspark.sql import functions as F
 from tangentia.functions import Geometry
 from tangentia.functions.columns import columns
 from tangentia.operators.data import bound, stamped
-from tangentia.session import reachable
+from tangentia.session import cut, reachable
 
 #: Rows of a block.
 BLOCK = 2048
+#: Pivots at most; tables of up to a block have one.
+PIVOTS = 256
+#: Geometries whose distances keep the triangle inequality.
+METRIC = frozenset("euclidean sphere simplex poincare hyperboloid torus spd_log_euclidean spd_affine_invariant spd_bures_wasserstein correlation_ecm correlation_lec special_orthogonal grassmann".split())
+#: What rounding may take from an inequality.
+SLACK = 1e-7
 
 
 def stacked(geometry: Geometry, points) -> np.ndarray:
@@ -73,26 +85,85 @@ def pairwise_distances(geometry: Geometry, df: DataFrame, other: DataFrame | Non
     return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(meet, _ids(df, right, id_col, id_col))
 
 
+def _pivots(geometry: Geometry, df: DataFrame, point: str, id_col: str, n: int, block: int) -> np.ndarray | None:
+    """Rows with the least hash of their id as pivots; None where cells are of no use."""
+    k = min(PIVOTS, 2 * math.ceil(n / block))
+    if geometry.name not in METRIC or n <= block:
+        return None
+    return stacked(geometry, [r[0] for r in df.select(point).orderBy(F.xxhash64(id_col), id_col).limit(k).collect()])
+
+
+def _celled(geometry: Geometry, df: DataFrame, pivots: np.ndarray, point: str, id_col: str) -> DataFrame:
+    """(j, y, cell, d) of the rows with their nearest pivot."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(parts):
+        for pdf in parts:
+            d = distances(geometry, stacked(geometry, pdf["y"]), pivots)
+            yield pdf.assign(cell=d.argmin(1).astype(np.int32), d=d.min(1))
+
+    return df.select(F.col(id_col).alias("j"), F.col(point).alias("y")).mapInPandas(run, f"j {kind}, y array<double>, cell int, d double")
+
+
+def _visiting(geometry: Geometry, df: DataFrame, pivots: np.ndarray, far: dict, point: str, id_col: str, reach: str | float, skip: str | None = None) -> DataFrame:
+    """(i, x, cell) of the cells that rows within `reach` (a number, or a column) may lie in; far: radius of each cell that has rows.
+
+    skip: a column of cells that are visited already.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    radius = np.array([far.get(c, -np.inf) for c in range(len(pivots))])
+    columns_ = [F.col(id_col).alias("i"), F.col(point).alias("x"), (F.col(reach) if isinstance(reach, str) else F.lit(float(reach))).alias("r"), (F.col(skip) if skip else F.lit(-1)).cast("int").alias("s")]
+
+    def run(parts):
+        for pdf in parts:
+            d, r = distances(geometry, stacked(geometry, pdf["x"]), pivots), pdf["r"].to_numpy(float)[:, None]
+            with np.errstate(invalid="ignore"):
+                open_ = (d <= d.min(1, keepdims=True) + 2 * r + SLACK) & (d <= radius + r + SLACK)
+            open_ &= np.arange(len(pivots)) != pdf["s"].to_numpy()[:, None]
+            row, cell = np.nonzero(open_)
+            yield pd.DataFrame({"i": pdf["i"].to_numpy()[row], "x": pdf["x"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+    return df.select(*columns_).mapInPandas(run, f"i {kind}, x array<double>, cell int")
+
+
+def _in_cells(left: DataFrame, right: DataFrame, block: int):
+    """Both sides, grouped by cell and block; left: i, x, cell, right: j, y, cell."""
+    size = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = cut(size(left, "m").join(size(right, "n"), "cell"))
+    deal = lambda df, own, other, k, many: (
+        df.join(F.broadcast(blocks), "cell").withColumn(own, F.pmod(F.xxhash64(k), F.col(many))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n" if many == "m" else "m").cast("long") - 1))).drop("m", "n")
+    )
+    return deal(left, "a", "b", "i", "m").groupBy("cell", "a", "b"), deal(right, "b", "a", "j", "n").groupBy("cell", "a", "b")
+
+
 def distance_join(geometry: Geometry, df: DataFrame, other: DataFrame, radius: float, point: str = "point", id_col: str = "id", block: int = BLOCK) -> DataFrame:
     """(i, j, distance) of the pairs within the radius."""
     geometry.require("dist")
     reachable(df.sparkSession)
-    a, b = _sides(df, other, id_col, id_col, point, point, block)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d = distances(geometry, stacked(geometry, x["x"]), stacked(geometry, y["y"]))
         i, j = np.nonzero(d <= radius)
         return pd.DataFrame({"i": x["i"].to_numpy()[i], "j": y["j"].to_numpy()[j], "distance": d[i, j]})
 
-    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(meet, _ids(df, other, id_col, id_col))
+    pivots = _pivots(geometry, other, point, id_col, other.count(), block)
+    if pivots is None:
+        a, b = _sides(df, other, id_col, id_col, point, point, block)
+        a, b = a.groupBy("a", "b"), b.groupBy("a", "b")
+    else:
+        right = cut(_celled(geometry, other, pivots, point, id_col))
+        far = {r["cell"]: r["d"] for r in right.groupBy("cell").agg(F.max("d").alias("d")).collect()}
+        a, b = _in_cells(cut(_visiting(geometry, df, pivots, far, point, id_col, radius)), right.drop("d"), block)
+    return a.cogroup(b).applyInPandas(meet, _ids(df, other, id_col, id_col))
 
 
 def nearest_neighbors(geometry: Geometry, df: DataFrame, queries: DataFrame | None = None, n_neighbors: int = 5, exclude_self: bool = True, point: str = "point", id_col: str = "id", block: int = BLOCK) -> DataFrame:
     """(query_id, rank from 1, neighbor_id, distance): the nearest rows of df, of equally near ones the smaller id.
 
-    Without queries, df's own rows ask, and by default don't find themselves. Each block
-    hands on its n_neighbors best alone, so the final choice sees n_neighbors rows per
-    query and block.
+    Without queries, df's own rows ask, and by default don't find themselves. A query
+    first meets the rows of its own cell; the last of the n_neighbors best there bounds how far
+    it looks in others. Each block hands on its n_neighbors best alone, so the final choice
+    sees n_neighbors rows per query and block.
     """
     geometry.require("dist")
     own = queries is None
@@ -102,7 +173,6 @@ def nearest_neighbors(geometry: Geometry, df: DataFrame, queries: DataFrame | No
         raise ValueError("n_neighbors is 1 at least")
     reachable(df.sparkSession)
     skip = own and exclude_self
-    a, b = _sides(asked, df, id_col, id_col, point, point, block)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y.sort_values("j", kind="stable")
@@ -115,11 +185,45 @@ def nearest_neighbors(geometry: Geometry, df: DataFrame, queries: DataFrame | No
         out = pd.DataFrame({"i": np.repeat(i, k), "j": j[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
         return out[out["i"] != out["j"]] if skip else out
 
-    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(meet, _ids(asked, df, id_col, id_col))
+    met = lambda a, b: a.cogroup(b).applyInPandas(meet, _ids(asked, df, id_col, id_col))
+    pivots = _pivots(geometry, df, point, id_col, df.count(), block)
+    if pivots is None:
+        a, b = _sides(asked, df, id_col, id_col, point, point, block)
+        found = met(a.groupBy("a", "b"), b.groupBy("a", "b"))
+    else:
+        right = cut(_celled(geometry, df, pivots, point, id_col))
+        far = {r["cell"]: r["d"] for r in right.groupBy("cell").agg(F.max("d").alias("d")).collect()}
+        right = right.drop("d")
+        left = cut(_celled(geometry, asked, pivots, point, id_col).select(F.col("j").alias("i"), F.col("y").alias("x"), "cell"))
+        near = cut(met(*_in_cells(left, right, block)))
+        last = F.array_sort(F.collect_list("distance"))
+        reach = near.groupBy("i").agg(last.alias("d")).select("i", F.get("d", F.lit(n_neighbors - 1)).alias("reach"))
+        rest = left.join(reach, "i", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        found = near.unionAll(met(*_in_cells(cut(_visiting(geometry, rest, pivots, far, "x", "i", "reach", "cell")), right, block)))
     best = found.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "j"))), 1, n_neighbors).alias("best"))
     return best.select(F.col("i").alias("query_id"), F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.j").alias("neighbor_id"), F.col("b.distance").alias("distance"))
 
 
+def block_sums(geometry: Geometry, df: DataFrame, other: DataFrame, sums, fields: str, more: list[Column] = (), point: str = "point", id_col: str = "id", block: int = BLOCK, left: list[Column] = ()) -> DataFrame:
+    """(i, fields) by block of `other`, of sums(distances, i's frame, j's frame), a dict of columns; distances never leave the blocks.
+
+    more, left: columns of `other` that the frame of j has besides j and y, and of df that that of i has.
+    """
+    reachable(df.sparkSession)
+    a, b = _sides(df, other, id_col, id_col, point, point, block)
+    if more:
+        b = b.join(other.select(F.col(id_col).alias("j"), *more), "j")
+    if left:
+        a = a.join(df.select(F.col(id_col).alias("i"), *left), "i")
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.sort_values("j", kind="stable")
+        return pd.DataFrame({"i": x["i"].to_numpy(), **sums(distances(geometry, stacked(geometry, x["x"]), stacked(geometry, y["y"])), x, y)})
+
+    return a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInPandas(meet, f"i {kind}, {fields}")
+
+
 def geodesic_interpolation(geometry: Geometry, df: DataFrame, x: str, y: str, times: list[float], out: str = "point") -> DataFrame:
     """A row for each time: column t, and the point at t on the geodesic from x to y."""
     geometry.require("exp", "log")
@@ -138,8 +242,8 @@ def tangent_space_map(source: Geometry, target: Geometry, df: DataFrame, point:
 
 def medoid(geometry: Geometry, df: DataFrame, point: str = "point", id_col: str = "id", weight: Column | None = None, squared: bool = True) -> dict:
     """The row with the least weighted sum of (squared) distances to all, of equal ones the smallest id: id and cost."""
-    w = df.select(F.col(id_col).alias("j"), (weight if weight is not None else F.lit(1.0)).alias("w"))
-    d = pairwise_distances(geometry, df, point=point, id_col=id_col, squared=squared)
-    cost = d.join(w, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("distance")).alias("cost"))
-    r = cost.orderBy("cost", "i").first()
+    geometry.require("dist")
+    bound(df, point, geometry)
+    part = block_sums(geometry, df, df, lambda d, x, y: {"cost": (d * d if squared else d) @ y["w"].to_numpy(float)}, "cost double", [(weight if weight is not None else F.lit(1.0)).alias("w")], point, id_col)
+    r = part.groupBy("i").agg(F.sum("cost").alias("cost")).orderBy("cost", "i").first()
     return {"id": r["i"], "cost": r["cost"]}

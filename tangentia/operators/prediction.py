@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tangentia.functions import Geometry
 from tangentia.operators.local import CAP, gathered, local_points
 from tangentia.operators.location import frechet_mean, frechet_means, hash_uniform
-from tangentia.operators.pairs import distances, nearest_neighbors, pairwise_distances, stacked
+from tangentia.operators.pairs import block_sums, distances, nearest_neighbors, stacked
 from tangentia.session import appended, reachable, summed_arrays
 
 
@@ -239,9 +239,9 @@ def tangent_space_logistic_regression(geometry: Geometry, df: DataFrame, label:
     return TangentClassifier(features, classes, lambda f: np.column_stack([(f - mu) / sd, np.ones(len(f))]) @ w, point)
 
 
-def gaussian(d: Column | np.ndarray, bandwidth: float):
+def gaussian(d: np.ndarray, bandwidth: float) -> np.ndarray:
     z = d / bandwidth
-    return F.exp(-0.5 * z * z) if isinstance(d, Column) else np.exp(-0.5 * z * z)
+    return np.exp(-0.5 * z * z)
 
 
 @dataclass
@@ -252,15 +252,20 @@ class KernelRegression:
     train: DataFrame
     target: str
     bandwidth: float
-    kernel: Callable[[Column, float], Column]
+    kernel: Callable[[np.ndarray, float], np.ndarray]
     point: str
     id_col: str
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        d = pairwise_distances(self.geometry, df, self.train, self.point, self.id_col)
-        y = self.train.select(F.col(self.id_col).alias("j"), F.col(self.target).cast("double").alias("y"))
-        k = F.greatest(self.kernel(F.col("distance"), self.bandwidth), F.lit(0.0))
-        sums = d.join(y, "j").groupBy("i").agg(F.sum(k * F.col("y")).alias("n"), F.sum(k).alias("d"), F.min_by("y", F.struct("distance", "j")).alias("near"))
+        kernel, width = self.kernel, self.bandwidth
+
+        def part(d, x, y):
+            t, k, near = y["t"].to_numpy(float), np.maximum(kernel(d, width), 0), d.argmin(1)
+            return {"n": k @ t, "d": k.sum(1), "least": d.min(1), "j": y["j"].to_numpy()[near], "t": t[near]}
+
+        kind = self.train.schema[self.id_col].dataType.simpleString()
+        got = block_sums(self.geometry, df, self.train, part, f"n double, d double, least double, j {kind}, t double", [F.col(self.target).cast("double").alias("t")], self.point, self.id_col)
+        sums = got.groupBy("i").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.min_by("t", F.struct("least", "j")).alias("near"))
         value = F.when(F.col("d") > 1e-15, F.col("n") / F.col("d")).otherwise(F.col("near"))
         return df.join(sums.select(F.col("i").alias(self.id_col), value.alias(out)), self.id_col)
 
@@ -274,13 +279,21 @@ def kernel_regression(geometry: Geometry, df: DataFrame, target: str, bandwidth:
 
 def select_kernel_bandwidth(geometry: Geometry, df: DataFrame, target: str, bandwidths: list[float], n_folds: int = 5, seed: int = 0, kernel=gaussian, point: str = "point", id_col: str = "id") -> tuple[KernelRegression, DataFrame]:
     """(model of the best bandwidth, scores of (bandwidth, mse)): folds by a hash of the id, one distance join for all."""
-    fold = F.floor(hash_uniform(seed, "id_") * n_folds)
-    side = df.select(F.col(id_col).alias("id_"), F.col(target).cast("double").alias("y")).withColumn("fold", fold)
-    d = pairwise_distances(geometry, df, point=point, id_col=id_col)
-    d = d.join(side.select(F.col("id_").alias("i"), F.col("fold").alias("fi"), F.col("y").alias("yi")), "i").join(side.select(F.col("id_").alias("j"), F.col("fold").alias("fj"), F.col("y").alias("yj")), "j").filter("fi <> fj")
-    rows = d.withColumn("bandwidth", F.explode(F.array(*[F.lit(float(b)) for b in bandwidths])))
-    cases = F.coalesce(*[F.when(F.col("bandwidth") == float(b), F.greatest(kernel(F.col("distance"), float(b)), F.lit(0.0))) for b in bandwidths])
-    fit = rows.withColumn("k", cases).groupBy("bandwidth", "fi", "i").agg(F.first("yi").alias("yi"), F.sum(F.col("k") * F.col("yj")).alias("n"), F.sum("k").alias("d"), F.min_by("yj", F.struct("distance", "j")).alias("near"))
+    folded = df.withColumn("_fold", F.floor(hash_uniform(seed, id_col) * n_folds).cast("int"))
+    widths = [float(b) for b in bandwidths]
+    folds = [F.col("_fold"), F.col(target).cast("double").alias("t")]
+
+    def part(d, x, y):
+        t, other = y["t"].to_numpy(float), x["f"].to_numpy()[:, None] != y["_fold"].to_numpy()
+        open_ = np.where(other, d, np.inf)
+        near, k = open_.argmin(1), [np.where(other, np.maximum(kernel(d, b), 0), 0) for b in widths]
+        return {"n": [list(r) for r in np.stack([v @ t for v in k], 1)], "d": [list(r) for r in np.stack([v.sum(1) for v in k], 1)], "least": open_.min(1), "j": y["j"].to_numpy()[near], "t": t[near]}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    sums = block_sums(geometry, folded, folded, part, f"n array<double>, d array<double>, least double, j {kind}, t double", folds, point, id_col, left=[F.col("_fold").alias("f")])
+    each = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(len(widths) - 1)))).groupBy("i", "b").agg(F.sum(F.get("n", "b")).alias("n"), F.sum(F.get("d", "b")).alias("d"), F.min_by("t", F.struct("least", "j")).alias("near"))
+    truth = folded.select(F.col(id_col).alias("i"), F.col(target).cast("double").alias("yi"), F.col("_fold").alias("fi"))
+    fit = each.join(truth, "i").withColumn("bandwidth", F.get(F.array(*map(F.lit, widths)), "b"))
     err = F.pow(F.col("yi") - F.when(F.col("d") > 1e-15, F.col("n") / F.col("d")).otherwise(F.col("near")), 2)
     scores = fit.groupBy("bandwidth", "fi").agg(F.avg(err).alias("e")).groupBy("bandwidth").agg(F.avg("e").alias("mse"))
     got = {r["bandwidth"]: r["mse"] for r in scores.collect()}

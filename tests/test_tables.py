@@ -114,8 +114,8 @@ def test_pairs(table):
     near = [(r["query_id"], r["neighbor_id"]) for r in P.nearest_neighbors(e, x, n_neighbors=4, block=7).orderBy("query_id", "rank").collect()]
     assert near == [(i, j) for i in range(40) for j in sorted((j for j in range(40) if j != i), key=lambda j: (round(true[i, j], 9), j))[:4]]
     for radius in (0.0, 1.0, 2.5):
-        found = {(r["i"], r["j"]) for r in P.distance_join(e, x, x, radius).collect()}
-        assert found == {(i, j) for i in range(40) for j in range(40) if true[i, j] <= radius + 1e-12}
+        found = [(r["i"], r["j"]) for r in P.distance_join(e, x, x, radius, block=7).collect()]
+        assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(40) for j in range(40) if true[i, j] <= radius + 1e-12}
     cost = (true**2).sum(1)
     got = P.medoid(e, x)
     assert got["cost"] == pytest.approx(cost.min()) and got["id"] == int(np.flatnonzero(cost < cost.min() + 1e-9)[0])
@@ -123,6 +123,29 @@ def test_pairs(table):
         P.pairwise_distances(FixedRank(2, 2, 1), x)
 
 
+@pytest.mark.parametrize("m", [Sphere(3), Torus(2), Hyperboloid(3), SPDAffineInvariant(2)], ids=repr)
+def test_cells_lose_nothing(table, m):
+    rng = np.random.default_rng(32)
+    pts, other = m.random_point(rng, 60), m.random_point(rng, 25)
+    x, y = table(pts, m), table(other, m)
+    true = P.distances(m, other, pts)
+    radius = float(np.quantile(true, 0.15))
+    got = {(r["i"], r["j"]) for r in P.distance_join(m, y, x, radius, block=8).collect()}
+    assert got == {(i, j) for i, j in zip(*np.nonzero(true <= radius))}
+    near = [(r["query_id"], r["neighbor_id"]) for r in P.nearest_neighbors(m, x, y, n_neighbors=3, block=8).orderBy("query_id", "rank").collect()]
+    assert near == [(i, int(j)) for i in range(25) for j in np.argsort(true[i], kind="stable")[:3]]
+
+
+def test_cells_spare_distances(table):
+    pts = np.random.default_rng(33).uniform(0, 100, (2000, 1))
+    x = table(pts, Euclidean(1))
+    pivots = P._pivots(Euclidean(1), x, "point", "id", 2000, 100)
+    cells = P._celled(Euclidean(1), x, pivots, "point", "id")
+    far = {r["cell"]: r["d"] for r in cells.groupBy("cell").agg(F.max("d").alias("d")).collect()}
+    visits = P._visiting(Euclidean(1), x, pivots, far, "point", "id", 0.5).count()
+    assert len(pivots) == 40 and visits < 2000 * 6
+
+
 def draws(seed, n, d=1, scale=1.0):
     return np.random.default_rng(seed).normal(0, scale, (n, d))
 
@@ -167,11 +190,13 @@ def test_locations(table):
         Lo.frechet_mean(e, table(x, e, w=[0.0] * 23), weight="w")
     mean, reps = Lo.bootstrap_frechet_mean(e, table(x, e), 6, n_bootstrap=17, confidence_level=0.9)
     assert mean.point[0] == pytest.approx(x.mean(), abs=1e-6) and 0 <= mean.radius < np.ptp(x) and reps.count() == 17
+    by = Lo.frechet_means(Sphere(3), table(Sphere(3).random_point(rng, 30), Sphere(3), g=[k % 3 for k in range(30)], w=[float(1 + k % 2) for k in range(30)]), group="g", weight="w")
+    assert set(by) == {0, 1, 2} and all(v.converged for v in by.values())
     core = Lo.lightweight_coreset(e, table(x, e), 9, 3).collect()
     assert sum(r["weight"] for r in core) == pytest.approx(1) and {round(r["point"][0], 9) for r in core} <= {round(v, 9) for v in x[:, 0].tolist()}
 
 
-def test_curved_means(table):
+def test_curved_means(table, monkeypatch):
     m = Sphere(3)
     rng = np.random.default_rng(2)
     x = m.exp(np.array([1.0, 0, 0])[None], np.column_stack([np.zeros(20), rng.normal(0, 0.3, (20, 2))]))
@@ -183,8 +208,12 @@ def test_curved_means(table):
     p = s.random_point(rng, 9)
     got = Lo.frechet_mean(s, table(p, s))
     assert got.converged and s.norm(got.point[None], s.log(got.point[None], p).mean(0)[None])[0] < 1e-6
-    mini = Lo.minibatch_frechet_mean(m, table(x, m), 1, batch_size=5, epochs=5)
-    assert m.dist(mini.point, Lo.frechet_mean(m, table(x, m)).point) < 0.2
+    for most in (65_536, 6):
+        monkeypatch.setattr(Lo, "TASK_ROWS", most)
+        mini = Lo.minibatch_frechet_mean(m, table(x, m), 1, batch_size=5, epochs=5)
+        assert m.dist(mini.point, Lo.frechet_mean(m, table(x, m)).point) < 0.2
+    core = Lo.lightweight_coreset(m, table(x, m), 400, 3).collect()
+    assert m.dist(Lo.frechet_mean(m, table([r["point"] for r in core], m, w=[r["weight"] for r in core]), weight="w").point, Lo.frechet_mean(m, table(x, m)).point) < 0.05
 
 
 def clouds(seed, n=6, d=2, apart=9.0):
