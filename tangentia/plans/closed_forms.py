@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tangentia.functions import (
-    CorrelationAffineQuotient, CorrelationECM, CorrelationLEC, GeneralizedGrassmann, GeneralizedStiefel, Geometry, Grassmann, GrassmannProjection, KendallShape, Oblique, SpecialEuclidean,
+    CorrelationAffineQuotient, CorrelationECM, CorrelationLEC, Euclidean, GeneralizedGrassmann, GeneralizedStiefel, Geometry, Grassmann, GrassmannProjection, KendallShape, Oblique, SpecialEuclidean,
     SpecialOrthogonal, SPDAffineInvariant, SPDBuresWasserstein, SPDLogEuclidean, Sphere, Stiefel, StiefelEuclidean, Torus,
 )
 from tangentia.functions.columns import columns
-from tangentia.operators import location
+from tangentia.operators import embedding, location
 from tangentia.operators.data import stamped
 from tangentia.streaming import keyed_frechet_mean, session_counts, windowed_circular_mean
 
@@ -221,6 +221,16 @@ def solver_optima(spark: SparkSession, sf: str) -> DataFrame:
     return runs(spark, 200).join(known, "scenario").select("scenario", "solver", F.when(~F.col("reason").startswith("unsupported"), close).alias("reached"))
 
 
+@query(f"WITH x AS ({ANGLES}), o AS (SELECT a AS a0, b AS b0 FROM x WHERE id = (SELECT min(id) FROM x)) SELECT id, round(sqrt((a - a0) ^ 2 + (b - b0) ^ 2), 5) + 0.0 AS distance FROM x, o")
+def landmark_mds_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of all rows' coordinates to the first row's; landmark coordinates of flat points keep distances."""
+    rows = angles(spark, sf).select("id", stamped(array(F.col("a"), F.col("b")), "point", Euclidean(2)))
+    placed, _ = embedding.landmark_mds(Euclidean(2), rows, n_landmarks=100)
+    first = placed.orderBy("id").select("coordinates").first()[0]
+    gap = F.sqrt(sum((F.pow(F.get("coordinates", F.lit(k)) - v, 2) for k, v in enumerate(first)), F.lit(0.0)))
+    return placed.select("id", (F.round(gap, 5) + 0.0).alias("distance"))
+
+
 def as_instant(ts: Column) -> Column:
     """A timestamp without a zone as one with, in UTC whatever the session's zone."""
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
@@ -252,8 +262,6 @@ def streamed_circular_means(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 4) + 0.0 AS mean, count(*) AS n FROM events GROUP BY 1")
 def streamed_keyed_means(spark: SparkSession, sf: str) -> DataFrame:
-    from tangentia.functions import Euclidean
-
     points = lambda s: s.select("event_type", "event_id", stamped(F.array("value"), "point", Euclidean(1)))
     out = streamed(spark, sf, lambda s: keyed_frechet_mean(Euclidean(1), points(s), "event_type", order="event_id"), "update")
     last = out.groupBy("event_type").agg(F.max_by("point", "n").alias("point"), F.max("n").alias("n"))

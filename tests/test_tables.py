@@ -293,6 +293,9 @@ def test_embeddings(table):
     pts = np.column_stack([u, 0.3 * np.cos(u)]) @ turn.T
     x = table(pts, m)
     assert np.allclose(Em._flat(Em.classical_mds(m, x).coordinates), P.distances(m, pts, pts), atol=2e-4)
+    placed, told = Em.landmark_mds(m, x, n_landmarks=6)
+    z = np.array([r["coordinates"] for r in placed.orderBy("id").collect()])
+    assert len(told.ids) == 6 and np.allclose(Em._flat(z), P.distances(m, pts, pts), atol=1e-6)
     p = Em.principal_geodesic_analysis(m, x)
     back = p.inverse_transform(p.transform(x).drop("point")).orderBy("id").collect()
     assert np.allclose([r["point"] for r in back], pts, atol=1e-6)
