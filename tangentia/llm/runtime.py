@@ -42,6 +42,7 @@ def saved(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     # What earlier cuts have made unreachable still has shuffle files, until the driver collects its garbage.
     gc.collect()
+    _released()
     sc._jvm.System.gc()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
@@ -67,6 +68,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def rested(spark: SparkSession) -> None:
     """Let the executors' JVMs collect their garbage, and so return heap that earlier stages have taken, which Python workers then can use."""
+    gc.collect()
+    _released()
     n = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
@@ -82,7 +85,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _released() -> None:
-    """Give freed memory back to the system, where the C library can; workers are many and long-lived."""
+    """Give freed memory back to the system, Arrow's and the C library's; workers are many and long-lived, and so is the driver."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
@@ -109,8 +113,13 @@ def sieve_table(keys: DataFrame, place: Column) -> Broadcast:
     words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))).alias("bits"))
     got = words.toArrow()
     table = np.zeros(SIEVE_BITS // 32, np.uint32)
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return keys.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    for part in got.to_batches():
+        table[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
+    del got
+    sent = keys.sparkSession.sparkContext.broadcast(zlib.compress(table, 1))
+    del table
+    _released()
+    return sent
 
 
 def unpacked(sent: Broadcast) -> np.ndarray:

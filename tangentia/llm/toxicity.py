@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, sieve, text_slices
+from tangentia.llm.runtime import prepared, saved, sieve, text_slices
 from tangentia.llm.words import Words, lowered, split_words, text_bytes
 
 #: Bytes of the grams of each level, the last 8 at most.
@@ -189,15 +189,16 @@ class Model:
 
 def fit_model(counts: DataFrame) -> Model:
     """A model from (toxic, gram, n) of distinct grams, which come to the driver: 13 bytes a gram and class."""
-    got = counts.select(F.col("toxic").cast("byte").alias("toxic"), "gram", F.col("n").cast("float").alias("n")).toArrow()
-    toxic, gram, n = (got.column(x).to_numpy() for x in ("toxic", "gram", "n"))
-    pairs = np.bincount(gram & 65535, n, 65536).reshape(256, 256)
-    top = []
+    counts = saved(counts.select("toxic", "gram", F.col("n").cast("float").alias("n")))
+    pairs, top = np.zeros(65536), []
     for c in (0, 1):
-        grams, times = gram[toxic == c], n[toxic == c]
+        got = counts.filter(F.col("toxic") == c).select("gram", "n").toArrow()
+        grams, times = got.column("gram").to_numpy(), got.column("n").to_numpy()
+        del got
+        pairs += np.bincount(grams & 65535, times, 65536)
         order = np.argsort(grams)
         top.append((grams[order], times[order]))
-    return Model(top, pairs)
+    return Model(top, pairs.reshape(256, 256))
 
 
 def text_features(model: Model, column: pa.Array) -> np.ndarray:
