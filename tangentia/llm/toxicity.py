@@ -24,11 +24,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.runtime import prepared, saved, sieve, text_slices
+from tangentia.llm.runtime import prepared, sieve, text_slices
 from tangentia.llm.words import Words, lowered, split_words, text_bytes
 
 #: Bytes of the grams of each level, the last 8 at most.
@@ -189,12 +190,12 @@ class Model:
 
 def fit_model(counts: DataFrame) -> Model:
     """A model from (toxic, gram, n) of distinct grams, which come to the driver: 13 bytes a gram and class."""
-    counts = saved(counts.select("toxic", "gram", F.col("n").cast("float").alias("n")))
+    got = counts.select(F.col("toxic").cast("byte").alias("toxic"), "gram", F.col("n").cast("float").alias("n")).toArrow()
     pairs, top = np.zeros(65536), []
     for c in (0, 1):
-        got = counts.filter(F.col("toxic") == c).select("gram", "n").toArrow()
-        grams, times = got.column("gram").to_numpy(), got.column("n").to_numpy()
-        del got
+        own = got.filter(pa.compute.equal(got.column("toxic"), c))
+        grams, times = own.column("gram").to_numpy(), own.column("n").to_numpy()
+        del own
         pairs += np.bincount(grams & 65535, times, 65536)
         order = np.argsort(grams)
         top.append((grams[order], times[order]))
