@@ -37,13 +37,22 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _driver_rested(spark: SparkSession) -> None:
+    """Collect the driver's garbage, Python's and the JVM's, and give freed native memory back, where the JVM can."""
+    gc.collect()
+    _released()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Exception):
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, which outlives lost executors."""
     sc = df.sparkSession.sparkContext
     # What earlier cuts have made unreachable still has shuffle files, until the driver collects its garbage.
-    gc.collect()
-    _released()
-    sc._jvm.System.gc()
+    _driver_rested(df.sparkSession)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
@@ -68,8 +77,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def rested(spark: SparkSession) -> None:
     """Let the executors' JVMs collect their garbage, and so return heap that earlier stages have taken, which Python workers then can use."""
-    gc.collect()
-    _released()
+    _driver_rested(spark)
     n = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
 
