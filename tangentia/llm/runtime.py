@@ -41,11 +41,14 @@ def _driver_rested(spark: SparkSession) -> None:
     """Collect the driver's garbage, Python's and the JVM's, and give freed native memory back, where the JVM can."""
     gc.collect()
     _released()
-    jvm = spark.sparkContext._jvm
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     jvm.System.gc()
     with contextlib.suppress(Exception):
-        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+        # Called by reflection, as the bean server's own class isn't open to others.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        told = gateway.new_array(jvm.java.lang.Object, 4)
+        told[0], told[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), told)
 
 
 def saved(df: DataFrame) -> DataFrame:
