@@ -17,6 +17,9 @@ from tangentia.operators.location import frechet_mean, frechet_means, hash_unifo
 from tangentia.operators.pairs import block_sums, distances, nearest_neighbors, stacked
 from tangentia.session import appended, reachable, summed_arrays
 
+#: Distances up to this are hits: an angle between equal points has as much by rounding.
+HIT = 1e-6
+
 
 def _applied(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], point: str, geometry: Geometry, returns: str, out: str) -> DataFrame:
     """df with a column of f over batches of points; what f holds is broadcast in its closure."""
@@ -72,7 +75,7 @@ class NeighborVotes:
     def transform(self, df: DataFrame) -> DataFrame:
         near = nearest_neighbors(self.geometry, self.train, df, self.n_neighbors, False, self.point, self.id_col)
         near = near.join(self.train.select(F.col(self.id_col).alias("neighbor_id"), F.col(self.label).alias("_l")), "neighbor_id")
-        hit = (F.col("distance") <= 1e-12).cast("double")
+        hit = (F.col("distance") <= HIT).cast("double")
         vote = F.lit(1.0) if self.weights == "uniform" else F.when(F.col("_hits") > 0, hit).otherwise(1 / F.col("distance"))
         hits = near.groupBy("query_id").agg(F.sum(hit).alias("_hits"))
         votes = near.join(hits, "query_id").groupBy("query_id", "_l").agg(F.sum(vote).alias("v"))
