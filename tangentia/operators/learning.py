@@ -17,7 +17,7 @@ from tangentia.functions.columns import columns
 from tangentia.functions.matrices import by_eigen
 from tangentia.operators.local import CAP, gathered, local_points, median_bandwidth, returned
 from tangentia.operators.inference import local_mean
-from tangentia.operators.pairs import distances, nearest_neighbors, pairwise_distances, stacked
+from tangentia.operators.pairs import distances, median_distance, nearest_neighbors, pairwise_distances, stacked
 from tangentia.session import cut, reachable
 
 # Metric learning
@@ -181,8 +181,7 @@ def affinity_edges(geometry: Geometry, df: DataFrame, bandwidth: float | None =
         d = near.unionAll(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "distance")).groupBy("i", "j").agg(F.min("distance").alias("distance"))
     d = cut(d)
     if bandwidth is None:
-        full = d if n_neighbors is None else pairwise_distances(geometry, df, point=point, id_col=id_col).filter("i < j")
-        bandwidth = full.filter("distance > 0").agg(F.percentile("distance", 0.5)).first()[0] or 1.0
+        bandwidth = median_distance(geometry, df, point, id_col) or 1.0
     return d.select("i", "j", F.exp(-F.pow("distance", 2) / (2 * bandwidth**2)).alias("w")), bandwidth
 
 
