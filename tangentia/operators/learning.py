@@ -75,6 +75,9 @@ def riemannian_metric_learning(geometry: Geometry, df: DataFrame, label: str, re
 
 # Coding and dictionaries
 
+#: Rows that are coded together.
+CODED = 4096
+
 
 def onto_simplex(v: np.ndarray) -> np.ndarray:
     """Nearest vectors (rows) of nonnegative entries with sum 1."""
@@ -86,22 +89,28 @@ def onto_simplex(v: np.ndarray) -> np.ndarray:
 
 def barycentric_codes(geometry: Geometry, x: np.ndarray, atoms: np.ndarray, ridge: float, maxiter: int, tol: float) -> np.ndarray:
     """Rows: simplex weights w that minimise ||sum w log_x(atom)||^2 + ridge ||w||^2, by projected gradient."""
-    out = []
-    for p in x:
-        u = geometry.log(p[None], atoms)
-        gram = np.stack([geometry.inner(p[None], u, v[None]) for v in u], -1)
+    out = np.empty((len(x), len(atoms)))
+    for at in range(0, len(x), CODED):
+        p = x[at : at + CODED]
+        u = geometry.log(p[:, None], atoms[None])
+        gram = np.stack([geometry.inner(p[:, None], u, u[:, k : k + 1]) for k in range(len(atoms))], -1)
         q = sym(gram) + ridge * np.eye(len(atoms))
-        step = 1 / max(np.linalg.eigvalsh(q)[-1], 1e-12)
-        w = y = np.full(len(atoms), 1 / len(atoms))
-        m = 1.0
+        # A row whose logarithms aren't finite raises, as its eigenvalues do.
+        step = 1 / np.maximum(np.linalg.eigvalsh(q)[:, -1], 1e-12)
+        w = np.full((len(p), len(atoms)), 1 / len(atoms))
+        y, m, live = w.copy(), 1.0, np.arange(len(p))
         for _ in range(maxiter):
-            new = onto_simplex(y - step * (q @ y))
+            new = onto_simplex(y - step[live, None] * (q[live] @ y[..., None])[..., 0])
             m2 = (1 + math.sqrt(1 + 4 * m * m)) / 2
-            y, gap, w, m = new + (m - 1) / m2 * (new - w), np.abs(new - w).max(), new, m2
-            if gap <= tol:
+            old = w[live]
+            y, m = new + (m - 1) / m2 * (new - old), m2
+            w[live] = new
+            more = np.abs(new - old).max(1) > tol
+            if not more.any():
                 break
-        out.append(w)
-    return np.array(out)
+            y, live = y[more], live[more]
+        out[at : at + CODED] = w
+    return out
 
 
 def geodesic_barycentric_coding(geometry: Geometry, df: DataFrame, atoms, ridge: float = 1e-6, maxiter: int = 2000, tol: float = 1e-9, reconstruction_maxiter: int = 100, point: str = "point") -> DataFrame:
@@ -127,8 +136,11 @@ class Dictionary:
     converged: bool
 
 
-def manifold_dictionary_learning(geometry: Geometry, df: DataFrame, n_atoms: int, seed: int = 0, initial_atoms=None, ridge: float = 1e-6, maxiter: int = 20, tol: float = 1e-5, point: str = "point", id_col: str = "id", cap: int = CAP) -> Dictionary:
-    """Alternate codes and atoms; an atom moves along the mean of weighted residuals, halved until the objective doesn't rise."""
+def manifold_dictionary_learning(geometry: Geometry, df: DataFrame, n_atoms: int, seed: int = 0, initial_atoms=None, ridge: float = 1e-6, maxiter: int = 20, tol: float = 1e-5, point: str = "point", id_col: str = "id", cap: int | None = None) -> Dictionary:
+    """Alternate codes and atoms; an atom moves along the mean of weighted residuals, halved until the objective doesn't rise.
+
+    The driver holds the points, and of each a few rows as long as the atoms; nothing grows with pairs of rows.
+    """
     _, x = local_points(geometry, df, point, id_col, cap)
     rng = np.random.default_rng(seed)
     atoms = x[rng.choice(len(x), n_atoms, replace=False)] if initial_atoms is None else np.asarray(initial_atoms, float).reshape(-1, *geometry.shape)
