@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tangentia.functions import Geometry
-from tangentia.operators.local import CAP, gathered, local_points
+from tangentia.operators.local import gathered, local_points
 from tangentia.operators.location import frechet_mean, frechet_means, hash_uniform
 from tangentia.operators.pairs import block_sums, distances, nearest_neighbors, stacked
 from tangentia.session import appended, reachable, summed_arrays
@@ -432,12 +432,14 @@ class LocalPolynomial:
 
         @F.pandas_udf("array<double>")
         def run(s: pd.Series) -> pd.Series:
-            return pd.Series([at(float(q)).ravel() for q in s])
+            known = {q: at(q).ravel() for q in map(float, s.unique())}
+            return s.map(lambda q: known[q] if q in known else at(float(q)).ravel())
 
         return df.withColumn(out, run(F.col(predictor).cast("double")))
 
 
-def local_polynomial_regression(geometry: Geometry, df: DataFrame, predictor: str, bandwidth: float, response: str = "point", id_col: str = "id", degree: int = 1, kernel=gaussian, maxiter: int = 100, tol: float = 1e-6, cap: int = CAP) -> LocalPolynomial:
+def local_polynomial_regression(geometry: Geometry, df: DataFrame, predictor: str, bandwidth: float, response: str = "point", id_col: str = "id", degree: int = 1, kernel=gaussian, maxiter: int = 100, tol: float = 1e-6, cap: int | None = None) -> LocalPolynomial:
+    """All rows are sent to where predictions are made: a number and a point each; a value of the predictor is fitted once a batch."""
     if degree not in (0, 1):
         raise ValueError("the degree is 0 or 1")
     geometry.require("exp", "log")
