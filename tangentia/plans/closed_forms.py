@@ -20,6 +20,7 @@ from tangentia.functions import (
 from tangentia.functions.columns import columns
 from tangentia.operators import embedding, location
 from tangentia.operators.data import stamped
+from tangentia.session import shared
 from tangentia.streaming import keyed_frechet_mean, session_counts, windowed_circular_mean
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,7 +242,11 @@ def as_clock(ts: Column) -> Column:
 
 
 def streamed(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """What make() gives for the table events as a stream, read to its end; results are few rows, in a table in memory."""
+    """What make() gives for the table events as a stream, read to its end.
+
+    Complete results may be as many as the events: the last batch's are kept in the shared folder, not on the driver.
+    Updates are few rows, in a table in memory.
+    """
     name = f"stream_{uuid.uuid4().hex}"
     source = f"{sf}/events.parquet"
     rows = spark.read.parquet(source)
@@ -250,8 +255,19 @@ def streamed(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame
     stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf) if alone else reader.parquet(source)
     if dict(rows.dtypes)["ts"] == "timestamp_ntz":
         stream = stream.withColumn("ts", as_instant(F.col("ts")))
-    make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = make(stream)
+    writer = out.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{shared(spark)}/{name}").trigger(availableNow=True)
+    if mode != "complete":
+        writer.format("memory").start().awaitTermination()
+        return spark.table(name)
+    at = []
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{shared(spark)}/{name}-{k}")
+        at.append(k)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{shared(spark)}/{name}-{at[-1]}") if at else spark.createDataFrame([], out.schema)
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, round(atan2(avg(sin(value)), avg(cos(value))), 6) + 0.0 AS mean, count(*) AS n FROM events GROUP BY 1")
