@@ -17,7 +17,8 @@ from tangentia.functions.columns import columns
 from tangentia.functions.matrices import by_eigen
 from tangentia.operators.local import CAP, gathered, local_points, median_bandwidth, returned
 from tangentia.operators.inference import local_mean
-from tangentia.operators.pairs import distances, median_distance, nearest_neighbors, pairwise_distances, stacked
+from tangentia.operators.clustering import equal_points
+from tangentia.operators.pairs import HELD, distances, median_distance, nearest_neighbors, pairwise_distances, stacked
 from tangentia.session import cut, reachable
 
 # Metric learning
@@ -235,23 +236,82 @@ def label_propagation(geometry: Geometry, df: DataFrame, label: str, unlabeled=-
     return df.join(out.select(id_col, "prediction", F.map_from_arrays(names, "p").alias("probability")), id_col)
 
 
-def manifold_regularized_regression(geometry: Geometry, df: DataFrame, target: str, bandwidth: float | None = None, n_neighbors: int | None = None, ambient_regularization: float = 1e-3, intrinsic_regularization: float = 1.0, point: str = "point", id_col: str = "id", cap: int = CAP) -> DataFrame:
-    """(id, prediction): solves (J + a I + b L) f = y; rows with a NaN or null target are unlabelled. Dense, so capped."""
-    rows = gathered(df, [point, target], id_col, cap)
+def _weighted_median(d: np.ndarray, many: np.ndarray) -> float:
+    """The median of the positive distances between rows, of which many lie at each point; 1 without any."""
+    a, b = np.triu_indices(len(d), 1)
+    v, n = d[a, b], many[a] * many[b]
+    v, n = v[v > 0], n[v > 0]
+    if not len(v):
+        return 1.0
+    order = np.argsort(v)
+    upto = np.cumsum(n[order])
+    return float(sum(v[order[np.searchsorted(upto, r, side="right")]] for r in ((upto[-1] - 1) // 2, upto[-1] // 2)) / 2)
+
+
+def _regularized_by_points(geometry: Geometry, df: DataFrame, x: np.ndarray, y: np.ndarray, bandwidth: float | None, a: float, b: float, point: str, id_col: str) -> np.ndarray:
+    """The solution with weights between all rows, by the sums of f over equal points.
+
+    f = (J y + b T) / c, with T = W S, S the sums of f, and c = J + a + b W n: a system as large as the different
+    points. Up to CAP of them it is solved as a matrix, more by conjugate gradients whose
+    products take some rows of W at a time.
+    """
+    first, which, many = equal_points(x)
+    z, m = x[first], len(first)
+    small = m <= CAP
+    d = distances(geometry, z, z) if small else None
+    h = bandwidth or (_weighted_median(d, many) if small else median_distance(geometry, df, point, id_col) or 1.0)
+
+    def weights(k: int, upto: int) -> np.ndarray:
+        part = d[k:upto] if small else distances(geometry, z[k:upto], z)
+        w = np.exp(-(part**2) / (2 * h * h))
+        w[np.arange(len(w)), np.arange(k, k + len(w))] = 1
+        return w
+
+    step = m if small else max(1, HELD // m)
+    whole = weights(0, m) if small else None
+    product = lambda v: whole @ v if small else np.concatenate([weights(k, min(k + step, m)) @ v for k in range(0, m, step)])
+    known = ~np.isnan(y)
+    c = known + a + b * product(many.astype(float))[which]
+    ready = np.where(known, y, 0) / c
+    r, q = np.bincount(which, ready, m), np.bincount(which, 1 / c, m)
+    if small:
+        s = np.linalg.solve(np.eye(m) - b * q[:, None] * whole, r)
+    else:
+        s, left = np.zeros(m), r / q
+        way, size, goal = left * q, float(left @ (left * q)), 1e-24 * float(r @ (r / q))
+        for _ in range(10 * m):
+            if size <= goal:
+                break
+            moved = way / q - b * product(way)
+            at = size / float(way @ moved)
+            s, left = s + at * way, left - at * moved
+            size, before = float(left @ (left * q)), size
+            way = left * q + size / before * way
+    return ready + b * product(s)[which] / c
+
+
+def manifold_regularized_regression(geometry: Geometry, df: DataFrame, target: str, bandwidth: float | None = None, n_neighbors: int | None = None, ambient_regularization: float = 1e-3, intrinsic_regularization: float = 1.0, point: str = "point", id_col: str = "id", cap: int | None = None) -> DataFrame:
+    """(id, prediction): solves (J + a I + b L) f = y; rows with a NaN or null target are unlabelled.
+
+    A graph of nearest neighbours is dense, and takes CAP rows where no cap is given.
+    """
+    rows = gathered(df, [point, target], id_col, CAP if cap is None and n_neighbors is not None else cap)
     x, y = stacked(geometry, [r[1] for r in rows]), np.array([math.nan if r[2] is None else float(r[2]) for r in rows])
     labelled = ~np.isnan(y)
     if not labelled.any():
         raise ValueError("no labelled row")
+    if n_neighbors is None:
+        f = _regularized_by_points(geometry, df, x, y, bandwidth, ambient_regularization, intrinsic_regularization, point, id_col)
+        return returned(df, [r[0] for r in rows], id_col, prediction=f)
     d = distances(geometry, x, x)
     np.fill_diagonal(d, 0)
     h = bandwidth or median_bandwidth(d)
     w = np.exp(-(d**2) / (2 * h * h))
     np.fill_diagonal(w, 0)
-    if n_neighbors is not None:
-        near = np.zeros_like(w, bool)
-        order = np.argsort(d + np.where(np.eye(len(d), dtype=bool), np.inf, 0), 1, kind="stable")[:, :n_neighbors]
-        near[np.arange(len(d))[:, None], order] = True
-        w = np.where(near | near.T, w, 0)
+    near = np.zeros_like(w, bool)
+    order = np.argsort(d + np.where(np.eye(len(d), dtype=bool), np.inf, 0), 1, kind="stable")[:, :n_neighbors]
+    near[np.arange(len(d))[:, None], order] = True
+    w = np.where(near | near.T, w, 0)
     lap = np.diag(w.sum(1)) - w
     f = np.linalg.solve(np.diag(labelled.astype(float)) + ambient_regularization * np.eye(len(w)) + intrinsic_regularization * lap, np.where(labelled, y, 0))
     return returned(df, [r[0] for r in rows], id_col, prediction=f)
