@@ -31,6 +31,10 @@ WIDE = 16
 #: Tuning constants of the M-estimators and the scale of the median of residuals.
 TUNING = {"huber": 1.345, "cauchy": 2.385, "tukey": 4.685}
 MAD = 0.67448975
+#: The column of packed points.
+PACKED = "_packed"
+#: Replicates that one row of the bootstrap's table draws for.
+DRAWS = 64
 
 
 @dataclass
@@ -67,36 +71,59 @@ def normalized_weights(df: DataFrame, weight: str | None) -> DataFrame:
     return df.withColumn("_w", w / r["s"])
 
 
+def _batch_moments(geometry: Geometry, base: np.ndarray, x: np.ndarray, w: np.ndarray, factor=None, rho=None) -> tuple[np.ndarray, float, float]:
+    u = geometry.log(base[None], x)
+    d2 = np.maximum(geometry.inner(base[None], u, u), 0) if geometry.name != "sphere" else geometry.squared_dist(base[None], x)
+    d = np.sqrt(d2)
+    f = w if factor is None else w * factor(d)
+    u = np.where((f > 0).reshape((-1,) + (1,) * geometry.axes), u, 0)
+    return (u.reshape(len(x), -1) * f[:, None]).sum(0), float(f.sum()), float((w * (d2 if rho is None else rho(d))).sum())
+
+
+def packed_rows(geometry: Geometry, df: DataFrame, point: str) -> DataFrame:
+    """Points and `_w` of the rows of positive weight as bytes, a row a batch, kept in the checkpoint folder: for iterations without groups."""
+    if PACKED in df.columns:
+        return df
+    reachable(df.sparkSession)
+
+    def pack(parts):
+        for b in parts:
+            if len(b):
+                yield pd.DataFrame({PACKED: [stacked(geometry, b["x"]).tobytes()], "w": [b["w"].to_numpy(float).tobytes()]})
+
+    return cut(df.select(F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0").mapInPandas(pack, f"{PACKED} binary, w binary"))
+
+
 def moments(geometry: Geometry, df: DataFrame, bases: dict, point: str, group: str | None, factor: Callable[[np.ndarray], np.ndarray] | None = None, rho: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
     """By group: (sum of f w log, sum of f w, sum of w rho) at the group's base.
 
-    f = factor(distances), 1 by default; rho = squared distances by default. df has `_w`.
+    f = factor(distances), 1 by default; rho = squared distances by default. df has `_w`, or is of packed_rows.
     """
     reachable(df.sparkSession)
     key = F.lit(0) if group is None else F.col(group)
     kind = "int" if group is None else df.schema[group].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(bases)
-    n = geometry.length
+    packed = PACKED in df.columns
 
     def run(parts):
         for pdf in parts:
             rows = []
-            for g, own in pdf.groupby("g", sort=False):
-                base = sent.value.get(g)
-                if base is None:
-                    continue
-                x, w = stacked(geometry, own["x"]), own["w"].to_numpy(float)
-                u = geometry.log(base[None], x)
-                d2 = np.maximum(geometry.inner(base[None], u, u), 0) if geometry.name != "sphere" else geometry.squared_dist(base[None], x)
-                d = np.sqrt(d2)
-                f = w if factor is None else w * factor(d)
-                live = f > 0
-                u = np.where(live.reshape((-1,) + (1,) * geometry.axes), u, 0)
-                rows.append((g, (u.reshape(len(x), -1) * f[:, None]).sum(0), f.sum(), float((w * (d2 if rho is None else rho(d))).sum())))
+            if packed:
+                pieces = [(0, np.frombuffer(x).reshape(-1, *geometry.shape), np.frombuffer(w)) for x, w in zip(pdf["x"], pdf["w"])]
+            else:
+                pieces = [(g, stacked(geometry, own["x"]), own["w"].to_numpy(float)) for g, own in pdf.groupby("g", sort=False) if g in sent.value]
+            for g, x, w in pieces:
+                rows.append((g, *_batch_moments(geometry, sent.value[g], x, w, factor, rho)))
             if rows:
                 yield pd.DataFrame(rows, columns=["g", "u", "f", "c"])
 
-    parts = df.select(key.alias("g"), F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0").mapInPandas(run, f"g {kind}, u array<double>, f double, c double")
+    rows = df.select(F.col(PACKED).alias("x"), "w") if packed else df.select(key.alias("g"), F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0")
+    parts = rows.mapInPandas(run, f"g {kind}, u array<double>, f double, c double")
+    return _summed(geometry, parts)
+
+
+def _summed(geometry: Geometry, parts: DataFrame) -> dict:
+    n = geometry.length
     if n > WIDE:
         got = summed_arrays(parts.select("g", F.concat("u", F.array("f", "c")).alias("s")), "g", "s")
         return {g: (s[:n].reshape(geometry.shape), s[n], s[n + 1]) for g, s in got.items()}
@@ -141,27 +168,32 @@ def _chart_mean(geometry: Geometry, df: DataFrame, point: str, group: str | None
     return {r["g"]: back(np.array(r["z"], float).reshape(1, *geometry.shape))[0] for r in sums.collect()}
 
 
-def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, maxiter: int = 200, tol: float = 1e-7) -> dict[object, Location]:
+def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, maxiter: int = 200, tol: float = 1e-7, measure: Callable[[dict], dict] | None = None) -> dict[object, Location]:
     """By group (0 without one): argmin of the weighted squared distances.
 
+    measure: what moments gives at the groups' points, where df's own rows don't tell; needs `initial`.
+
     Steps along the mean logarithm, of a length by Barzilai and Borwein's rule, halved where the
     cost doesn't fall. tol is raised to the root of the machine precision. Groups number MOST_GROUPS at most.
     """
     geometry.require("exp", "log", "dist")
     bound(df, point, geometry)
-    df = normalized_weights(df, weight)
+    df = normalized_weights(df, weight) if measure is None else df
     closed = _chart_mean(geometry, df, point, group) if initial is None else None
     if closed is not None:
         m = moments(geometry, df, closed, point, group)
         return {g: Location(p, float(m[g][2] / m[g][1]), 0, True, "closed form", _norm(geometry, p, m[g][0] / m[g][1])) for g, p in closed.items()}
     tol = max(tol, math.sqrt(np.finfo(float).eps))
     at = {g: geometry.project(np.asarray(p, float)[None])[0] for g, p in initial.items()} if initial else start_points(geometry, df, point, group)
+    if measure is None:
+        rows = packed_rows(geometry, df, point) if group is None else df
+        measure = lambda live: moments(geometry, rows, live, point, group)
     out, step, last = {}, dict.fromkeys(at, 1.0), {}
     for it in range(maxiter + 1):
         live = {g: p for g, p in at.items() if g not in out}
         if not live:
             break
-        for g, (u, f, c) in moments(geometry, df, live, point, group).items():
+        for g, (u, f, c) in measure(live).items():
             u, c = u / f, float(c / f)
             size = _norm(geometry, at[g], u)
             if g in last and c > last[g][1] * (1 + 1e-12) + 1e-300:
@@ -208,6 +240,8 @@ def frechet_medians(geometry: Geometry, df: DataFrame, point: str = "point", gro
     geometry.require("exp", "log", "dist")
     df = normalized_weights(df, weight)
     at = initial or {g: m.point for g, m in frechet_means(geometry, df, point, group, weight, maxiter=100, tol=max(tol, 1e-6)).items()}
+    if group is None:
+        df = packed_rows(geometry, df, point)
     out = {}
     for it in range(maxiter + 1):
         live = {g: p for g, p in at.items() if g not in out}
@@ -291,7 +325,7 @@ def geodesic_m_estimator(geometry: Geometry, df: DataFrame, point: str = "point"
     if scale is None:
         scale = max(_distance_column(geometry, df, point, at).agg(F.percentile("_d", 0.5)).first()[0] / MAD, 1e-8)
     f, rho = robust_factor(loss, scale)
-    c = math.nan
+    df, c = packed_rows(geometry, df, point), math.nan
     for it in range(maxiter):
         u, mass, c = moments(geometry, df, {0: at}, point, None, f, rho)[0]
         if mass <= 0:
@@ -334,8 +368,9 @@ def trimmed_frechet_mean(geometry: Geometry, df: DataFrame, point: str = "point"
         raise ValueError("trim_fraction lies in [0, 1)")
     df = normalized_weights(df, weight)
     at = frechet_median(geometry, df, point, weight, tol=tol).point if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
+    df = cut(df.select(*dict.fromkeys([id_col, point, "_w"])))
     for it in range(maxiter):
-        kept = trim_weights(_distance_column(geometry, df, point, at), 1 - trim_fraction, id_col).withColumn("_kept", F.col("_w")).drop("_d")
+        kept = cut(trim_weights(_distance_column(geometry, df, point, at), 1 - trim_fraction, id_col).select(point, F.col("_w").alias("_kept")))
         m = frechet_mean(geometry, kept, point, "_kept", at, tol=tol)
         gap = float(geometry.dist(at[None], m.point[None])[0])
         at = m.point
@@ -495,15 +530,43 @@ def bootstrap_frechet_mean(geometry: Geometry, df: DataFrame, seed: int, point:
     """(estimate with radius, replicates of (replicate, point, distance)).
 
     Replicates weigh rows by Poisson counts of their mean n * weight, drawn from a hash of seed,
-    replicate and id; all replicates iterate together, as groups.
+    replicate and id; all replicates iterate together, and a row draws for DRAWS of them at once.
     """
     df = normalized_weights(df, weight)
     n = df.count()
     mean = frechet_mean(geometry, df, point, weight, maxiter=maxiter, tol=tol)
-    reps = df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
-    u, lam = hash_uniform(seed, "_r", id_col), F.col("_w") * n
-    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0.0).alias("k")), lambda s, i: F.struct((s["p"] * lam / i).alias("p"), (s["c"] + s["p"] * lam / i).alias("c"), F.when(u > s["c"], i.cast("double")).otherwise(s["k"]).alias("k")), lambda s: s["k"])
-    got = frechet_means(geometry, reps.withColumn("_k", drawn).filter("_k > 0"), point, "_r", "_k", {r: mean.point for r in range(n_bootstrap)}, maxiter, tol)
+    drawn = F.transform(F.sequence(F.col("r"), F.least(F.col("r") + DRAWS, F.lit(n_bootstrap)) - 1), lambda r: hash_uniform(seed, r, id_col))
+    reps = df.filter("_w > 0").select(F.col(id_col), F.col(point).alias("x"), (F.col("_w") * n).alias("lam"), F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(DRAWS))).alias("r"))
+    reps = reps.select("x", "lam", "r", drawn.alias("u"))
+    reachable(df.sparkSession)
+
+    def measure(bases: dict) -> dict:
+        sent = df.sparkSession.sparkContext.broadcast(bases)
+
+        def run(parts):
+            for pdf in parts:
+                rows = []
+                for first, own in pdf.groupby("r", sort=False):
+                    u, x, p = np.stack(own["u"].to_numpy()), stacked(geometry, own["x"]), np.exp(-own["lam"].to_numpy(float))
+                    # The Poisson counts: how many cumulated probabilities lie below the draw.
+                    k, upto, lam = np.zeros(u.shape), p.copy(), own["lam"].to_numpy(float)
+                    for i in range(1, 25):
+                        above = u > upto[:, None]
+                        if not above.any():
+                            break
+                        k += above
+                        p = p * lam / i
+                        upto = upto + p
+                    for r in range(u.shape[1]):
+                        live = k[:, r] > 0
+                        if first + r in sent.value and live.any():
+                            rows.append((first + r, *_batch_moments(geometry, sent.value[first + r], x[live], k[live, r])))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["g", "u", "f", "c"])
+
+        return _summed(geometry, reps.mapInPandas(run, "g int, u array<double>, f double, c double"))
+
+    got = frechet_means(geometry, df, point, None, None, {r: mean.point for r in range(n_bootstrap)}, maxiter, tol, measure)
     rows = [(int(r), m.point.ravel().tolist(), float(geometry.dist(mean.point[None], m.point[None])[0])) for r, m in sorted(got.items())]
     mean.radius = float(np.quantile([r[2] for r in rows], confidence_level))
     return mean, df.sparkSession.createDataFrame(rows, "replicate int, point array<double>, distance double")
