@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,12 @@ WIDE = 16
 #: Tuning constants of the M-estimators and the scale of the median of residuals.
 TUNING = {"huber": 1.345, "cauchy": 2.385, "tukey": 4.685}
 MAD = 0.67448975
-#: The column of packed points.
-PACKED = "_packed"
+#: Numbers of packed points and weights that the driver holds; more stay with the executors.
+HELD = 1 << 22
+#: Rows of a batch that the driver holds.
+BLOCK = 1 << 16
+#: Rows around the border of a trimming that the driver puts in order.
+BORDER = 1 << 16
 #: Replicates that one row of the bootstrap's table draws for.
 DRAWS = 64
 
@@ -80,44 +85,164 @@ def _batch_moments(geometry: Geometry, base: np.ndarray, x: np.ndarray, w: np.nd
     return (u.reshape(len(x), -1) * f[:, None]).sum(0), float(f.sum()), float((w * (d2 if rho is None else rho(d))).sum())
 
 
-def packed_rows(geometry: Geometry, df: DataFrame, point: str) -> DataFrame:
-    """Points and `_w` of the rows of positive weight as bytes, a row a batch, kept in the checkpoint folder: for iterations without groups."""
-    if PACKED in df.columns:
-        return df
-    reachable(df.sparkSession)
-
-    def pack(parts):
-        for b in parts:
-            if len(b):
-                yield pd.DataFrame({PACKED: [stacked(geometry, b["x"]).tobytes()], "w": [b["w"].to_numpy(float).tobytes()]})
+class Packed:
+    """Points and `_w` of the rows of positive weight in batches, for iterations without groups.
 
-    return cut(df.select(F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0").mapInPandas(pack, f"{PACKED} binary, w binary"))
+    Up to HELD numbers the driver holds them, and an iteration is no job; more are a row a batch in the
+    checkpoint folder, and an iteration is one job without a shuffle. With `order`, batches and rows lie in its order.
+    """
 
+    def __init__(self, geometry: Geometry, df: DataFrame, point: str, order: str | None = None):
+        reachable(df.sparkSession)
+        self.geometry = geometry
+        few = df.count() * (geometry.length + 1) <= HELD
+        rows = df.filter("_w > 0")
+        rows = (rows if order is None else rows.orderBy(order, point)).select(F.col(point).alias("x"), F.col("_w").alias("w"))
+
+        def pack(parts):
+            part = TaskContext.get().partitionId()
+            for i, b in enumerate(parts):
+                if len(b):
+                    yield pd.DataFrame({"s": [(part << 32) + i], "x": [stacked(geometry, b["x"]).tobytes()], "w": [b["w"].to_numpy(float).tobytes()]})
+
+        packed = rows.mapInPandas(pack, "s long, x binary, w binary")
+        self.df = None if few else cut(packed)
+        if few:
+            got = packed.collect()
+            x, w = (np.frombuffer(b"".join(r[k] for r in got)) for k in ("x", "w"))
+            x = x.reshape(-1, *geometry.shape)
+            self.held = [(i, x[i : i + BLOCK], w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)]
+
+    def each(self, f: Callable, fold: Callable) -> list:
+        """fold of what f(number, points, weights) gives for the batches of a task, by task."""
+        if self.df is None:
+            return [fold([f(*b) for b in self.held])] if self.held else []
 
-def moments(geometry: Geometry, df: DataFrame, bases: dict, point: str, group: str | None, factor: Callable[[np.ndarray], np.ndarray] | None = None, rho: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
+        def run(parts):
+            got = None
+            for pdf in parts:
+                for s, x, w in zip(pdf["s"], pdf["x"], pdf["w"]):
+                    one = f(int(s), np.frombuffer(x).reshape(-1, *shape), np.frombuffer(w))
+                    got = one if got is None else fold([got, one])
+            if got is not None:
+                yield pd.DataFrame({"n": [got.shape[-1]], "r": [np.ascontiguousarray(got, float).tobytes()]})
+
+        shape = self.geometry.shape
+        return [np.frombuffer(r["r"]).reshape(-1, r["n"]) for r in self.df.mapInPandas(run, "n int, r binary").collect()]
+
+    def total(self, f: Callable) -> np.ndarray:
+        """The sum of f over the batches."""
+        got = self.each(f, lambda a: np.sum(a, axis=0))
+        if not got:
+            raise ValueError("no samples")
+        return np.sum([g.ravel() for g in got], axis=0)
+
+    def moments(self, base: np.ndarray, factor=None, rho=None, weights: Callable | None = None) -> tuple[np.ndarray, float, float]:
+        """_batch_moments of all rows; weights(number, points, weights) replaces those of a batch."""
+        geometry, n = self.geometry, self.geometry.length
+
+        def own(s, x, w):
+            if weights is not None:
+                w = weights(s, x, w)
+                x, w = x[w > 0], w[w > 0]
+            u, f, c = _batch_moments(geometry, base, x, w, factor, rho)
+            return np.concatenate([u, [f, c]])
+
+        got = self.total(own)
+        return got[:n].reshape(geometry.shape), float(got[n]), float(got[n + 1])
+
+    def _border(self, base: np.ndarray, target: Callable[[float], float], counted: bool = False) -> tuple[np.ndarray, float, float]:
+        """((distance, number of the batch, mass) of rows, the mass before them, the target): in these rows the mass by distance from base reaches target(whole mass).
+
+        Masses by the leading bits of the distances narrow the border, until its rows are few or all equally
+        far; the latter are one a batch. counted: every row has a mass of 1.
+        """
+        geometry, begin, shift, before, want = self.geometry, 0, 64, 0.0, None
+        far = lambda x: np.abs(geometry.dist(base[None], x))
+        while want is None or least > BORDER and shift > 0:
+            low, last = begin, shift
+            shift = max(shift - 12, 0)
+
+            def masses(s, x, w, low=low, last=last, shift=shift):
+                k = far(x).view(np.uint64)
+                here = slice(None) if last == 64 else k >> np.uint64(last) == np.uint64(low >> last)
+                at = ((k[here] >> np.uint64(shift)) & np.uint64((1 << (last - shift)) - 1)).astype(int)
+                n = np.bincount(at, minlength=1 << (last - shift))
+                return np.concatenate([n if counted else np.bincount(at, w[here], 1 << (last - shift)), n])
+
+            mass, count = self.total(masses).reshape(2, -1)
+            want = target(mass.sum()) if want is None else want
+            upto = before + np.cumsum(mass)
+            reached = (upto >= want - 1e-15) & (count > 0)
+            at = int(reached.argmax()) if reached.any() else int(np.flatnonzero(count)[-1])
+            before, begin, least = float(upto[at] - mass[at]), begin + (at << shift), count[at]
+        low, last = np.uint64(begin >> shift), np.uint64(shift)
+
+        def border(s, x, w):
+            d = far(x)
+            at = np.flatnonzero(d.view(np.uint64) >> last == low)
+            d, w = d[at], np.ones(len(at)) if counted else w[at]
+            if shift == 0 and len(at):
+                d, w = d[:1], w.sum()[None]
+            return np.stack([d, np.full(len(d), float(s)), w], 1)
+
+        rows = np.concatenate(self.each(border, np.concatenate))
+        # Batches of a task are in order, and those of one distance stay so.
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))], before, want
+
+    def median_distance(self, base: np.ndarray) -> float:
+        """The median of the rows' distances from base, which their weights don't change."""
+        middle = []
+        for k in (lambda n: (n + 1) // 2, lambda n: n // 2 + 1):
+            rows, before, want = self._border(base, k, counted=True)
+            middle.append(rows[int((before + np.cumsum(rows[:, 2]) < want).sum()), 0])
+        return float(sum(middle) / 2)
+
+    def nearest(self, base: np.ndarray, keep: float) -> Callable:
+        """Weights of the first `keep` of the mass by distance from base, then in the order of rows; the row on the border counts in part."""
+        geometry = self.geometry
+        rows, before, target = self._border(base, lambda whole: keep * whole)
+        upto = before + np.cumsum(rows[:, 2])
+        at = min(int((upto < target - 1e-15).sum()), len(rows) - 1)
+        limit, number = rows[at, 0], int(rows[at, 1])
+        group = (rows[:, 0] == limit) & (rows[:, 1] == number)
+        room = target - float(upto[group][0] - rows[group][0, 2])
+
+        def weights(s, x, w):
+            d = np.abs(geometry.dist(base[None], x))
+            out = np.where(d < limit, w, 0.0)
+            tie = d == limit
+            if s < number:
+                out[tie] = w[tie]
+            elif s == number:
+                out[tie] = np.clip(room - (np.cumsum(w[tie]) - w[tie]), 0, w[tie])
+            return out
+
+        return weights
+
+
+def moments(geometry: Geometry, df: DataFrame | Packed, bases: dict, point: str, group: str | None, factor: Callable[[np.ndarray], np.ndarray] | None = None, rho: Callable[[np.ndarray], np.ndarray] | None = None) -> dict:
     """By group: (sum of f w log, sum of f w, sum of w rho) at the group's base.
 
-    f = factor(distances), 1 by default; rho = squared distances by default. df has `_w`, or is of packed_rows.
+    f = factor(distances), 1 by default; rho = squared distances by default. df has `_w`, or is Packed.
     """
+    if isinstance(df, Packed):
+        return {0: df.moments(bases[0], factor, rho)}
     reachable(df.sparkSession)
     key = F.lit(0) if group is None else F.col(group)
     kind = "int" if group is None else df.schema[group].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(bases)
-    packed = PACKED in df.columns
 
     def run(parts):
         for pdf in parts:
             rows = []
-            if packed:
-                pieces = [(0, np.frombuffer(x).reshape(-1, *geometry.shape), np.frombuffer(w)) for x, w in zip(pdf["x"], pdf["w"])]
-            else:
-                pieces = [(g, stacked(geometry, own["x"]), own["w"].to_numpy(float)) for g, own in pdf.groupby("g", sort=False) if g in sent.value]
-            for g, x, w in pieces:
-                rows.append((g, *_batch_moments(geometry, sent.value[g], x, w, factor, rho)))
+            for g, own in pdf.groupby("g", sort=False):
+                if g in sent.value:
+                    rows.append((g, *_batch_moments(geometry, sent.value[g], stacked(geometry, own["x"]), own["w"].to_numpy(float), factor, rho)))
             if rows:
                 yield pd.DataFrame(rows, columns=["g", "u", "f", "c"])
 
-    rows = df.select(F.col(PACKED).alias("x"), "w") if packed else df.select(key.alias("g"), F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0")
+    rows = df.select(key.alias("g"), F.col(point).alias("x"), F.col("_w").alias("w")).filter("w > 0")
     parts = rows.mapInPandas(run, f"g {kind}, u array<double>, f double, c double")
     return _summed(geometry, parts)
 
@@ -168,10 +293,11 @@ def _chart_mean(geometry: Geometry, df: DataFrame, point: str, group: str | None
     return {r["g"]: back(np.array(r["z"], float).reshape(1, *geometry.shape))[0] for r in sums.collect()}
 
 
-def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, maxiter: int = 200, tol: float = 1e-7, measure: Callable[[dict], dict] | None = None) -> dict[object, Location]:
+def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, maxiter: int = 200, tol: float = 1e-7, measure: Callable[[dict], dict] | None = None, rows: Packed | None = None) -> dict[object, Location]:
     """By group (0 without one): argmin of the weighted squared distances.
 
     measure: what moments gives at the groups' points, where df's own rows don't tell; needs `initial`.
+    rows: the rows of df, where they are packed already.
 
     Steps along the mean logarithm, of a length by Barzilai and Borwein's rule, halved where the
     cost doesn't fall. tol is raised to the root of the machine precision. Groups number MOST_GROUPS at most.
@@ -186,7 +312,7 @@ def frechet_means(geometry: Geometry, df: DataFrame, point: str = "point", group
     tol = max(tol, math.sqrt(np.finfo(float).eps))
     at = {g: geometry.project(np.asarray(p, float)[None])[0] for g, p in initial.items()} if initial else start_points(geometry, df, point, group)
     if measure is None:
-        rows = packed_rows(geometry, df, point) if group is None else df
+        rows = df if group is not None else rows or Packed(geometry, df, point)
         measure = lambda live: moments(geometry, rows, live, point, group)
     out, step, last = {}, dict.fromkeys(at, 1.0), {}
     for it in range(maxiter + 1):
@@ -235,19 +361,18 @@ def frechet_mean(geometry: Geometry, df: DataFrame, point: str = "point", weight
     return frechet_means(geometry, df, point, None, weight, None if initial_point is None else {0: np.asarray(initial_point, float).reshape(geometry.shape)}, maxiter, tol)[0]
 
 
-def frechet_medians(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, smoothing: float = 1e-8, maxiter: int = 200, tol: float = 1e-7) -> dict[object, Location]:
+def frechet_medians(geometry: Geometry, df: DataFrame, point: str = "point", group: str | None = None, weight: str | None = None, initial: dict | None = None, smoothing: float = 1e-8, maxiter: int = 200, tol: float = 1e-7, rows: Packed | None = None) -> dict[object, Location]:
     """By group: argmin of the weighted distances, by Weiszfeld's weights w / max(d, smoothing)."""
     geometry.require("exp", "log", "dist")
     df = normalized_weights(df, weight)
-    at = initial or {g: m.point for g, m in frechet_means(geometry, df, point, group, weight, maxiter=100, tol=max(tol, 1e-6)).items()}
-    if group is None:
-        df = packed_rows(geometry, df, point)
+    rows = df if group is not None else rows or Packed(geometry, df, point)
+    at = initial or {g: m.point for g, m in frechet_means(geometry, df, point, group, weight, maxiter=100, tol=max(tol, 1e-6), rows=None if group is not None else rows).items()}
     out = {}
     for it in range(maxiter + 1):
         live = {g: p for g, p in at.items() if g not in out}
         if not live:
             break
-        for g, (u, f, c) in moments(geometry, df, live, point, group, lambda d: 1 / np.maximum(d, smoothing), lambda d: d).items():
+        for g, (u, f, c) in moments(geometry, rows, live, point, group, lambda d: 1 / np.maximum(d, smoothing), lambda d: d).items():
             size = _norm(geometry, at[g], u / f)
             if size <= tol or it == maxiter:
                 out[g] = Location(at[g], float(c), it, size <= tol, "direction tolerance" if size <= tol else "iteration limit", size)
@@ -321,13 +446,15 @@ def geodesic_m_estimator(geometry: Geometry, df: DataFrame, point: str = "point"
     if loss not in TUNING:
         raise ValueError(f"loss is one of {sorted(TUNING)}")
     df = normalized_weights(df, weight)
-    at = frechet_median(geometry, df, point, weight, tol=tol).point if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
+    rows = Packed(geometry, df, point)
+    at = frechet_median(geometry, df, point, weight, tol=tol, rows=rows).point if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
     if scale is None:
-        scale = max(_distance_column(geometry, df, point, at).agg(F.percentile("_d", 0.5)).first()[0] / MAD, 1e-8)
+        middle = rows.median_distance(at) if weight is None else _distance_column(geometry, df, point, at).agg(F.percentile("_d", 0.5)).first()[0]
+        scale = max(middle / MAD, 1e-8)
     f, rho = robust_factor(loss, scale)
-    df, c = packed_rows(geometry, df, point), math.nan
+    c = math.nan
     for it in range(maxiter):
-        u, mass, c = moments(geometry, df, {0: at}, point, None, f, rho)[0]
+        u, mass, c = rows.moments(at, f, rho)
         if mass <= 0:
             return Location(at, c, it, False, "all weights vanish", diagnostics={"scale": scale})
         moved = geometry.exp(at[None], (u / mass)[None])[0]
@@ -338,40 +465,16 @@ def geodesic_m_estimator(geometry: Geometry, df: DataFrame, point: str = "point"
     return Location(at, c, maxiter, False, "iteration limit", diagnostics={"scale": scale})
 
 
-def trim_weights(df: DataFrame, keep: float, id_col: str) -> DataFrame:
-    """df with `_w` set to what of it lies in the first `keep` of the mass by `_d` (ties by id); the row on the border in part.
-
-    Only rows at the border's distance are put in order; a quantile of distances by mass finds it.
-    """
-    total = df.agg(F.sum("_w")).first()[0]
-    low, high = 0.0, df.agg(F.max("_d")).first()[0]
-    for _ in range(6):
-        edges = [low + (high - low) * i / 64 for i in range(1, 65)]
-        sums = df.agg(*[F.sum(F.when(F.col("_d") <= e, F.col("_w")).otherwise(0.0)).alias(f"e{i}") for i, e in enumerate(edges)]).first()
-        at = next((i for i in range(64) if sums[i] >= keep * total - 1e-15), 63)
-        low, high = (edges[at - 1] if at else low), edges[at]
-        if high - low <= 1e-12 * max(1, high):
-            break
-    from pyspark.sql import Window as W
-
-    inner = df.filter(F.col("_d") <= low).agg(F.sum("_w")).first()[0] or 0.0
-    border = (F.col("_d") > low) & (F.col("_d") <= high)
-    order = W.partitionBy(border).orderBy("_d", id_col).rowsBetween(W.unboundedPreceding, -1)
-    edge = df.filter(border).withColumn("_before", F.coalesce(F.sum("_w").over(order), F.lit(0.0)) + inner)
-    edge = edge.withColumn("_w", F.greatest(F.lit(0.0), F.least(F.col("_w"), F.lit(keep * total) - F.col("_before")))).drop("_before")
-    return df.filter(F.col("_d") <= low).unionByName(edge)
-
-
 def trimmed_frechet_mean(geometry: Geometry, df: DataFrame, point: str = "point", id_col: str = "id", trim_fraction: float = 0.1, weight: str | None = None, initial_point=None, maxiter: int = 100, tol: float = 1e-6) -> Location:
     """Mean of the nearest 1 - trim_fraction of the mass, in turn with the trimming; the row on the border counts in part."""
     if not 0 <= trim_fraction < 1:
         raise ValueError("trim_fraction lies in [0, 1)")
     df = normalized_weights(df, weight)
-    at = frechet_median(geometry, df, point, weight, tol=tol).point if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
-    df = cut(df.select(*dict.fromkeys([id_col, point, "_w"])))
+    rows = Packed(geometry, df, point, id_col)
+    at = frechet_median(geometry, df, point, weight, tol=tol, rows=rows).point if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
     for it in range(maxiter):
-        kept = cut(trim_weights(_distance_column(geometry, df, point, at), 1 - trim_fraction, id_col).select(point, F.col("_w").alias("_kept")))
-        m = frechet_mean(geometry, kept, point, "_kept", at, tol=tol)
+        kept = rows.nearest(at, 1 - trim_fraction)
+        m = frechet_means(geometry, df, point, initial={0: at}, tol=tol, measure=lambda live, kept=kept: {g: rows.moments(p, weights=kept) for g, p in live.items()})[0]
         gap = float(geometry.dist(at[None], m.point[None])[0])
         at = m.point
         if gap <= tol:
