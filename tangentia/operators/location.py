@@ -38,6 +38,8 @@ HELD = 1 << 22
 BLOCK = 1 << 16
 #: Rows around the border of a trimming that the driver puts in order.
 BORDER = 1 << 16
+#: Turns of trimming before longer steps, and how many times the way to the mean a step is at most.
+PLAIN, LONGEST = 5, 1000.0
 #: Replicates that one row of the bootstrap's table draws for.
 DRAWS = 64
 
@@ -466,20 +468,46 @@ def geodesic_m_estimator(geometry: Geometry, df: DataFrame, point: str = "point"
 
 
 def trimmed_frechet_mean(geometry: Geometry, df: DataFrame, point: str = "point", id_col: str = "id", trim_fraction: float = 0.1, weight: str | None = None, initial_point=None, maxiter: int = 100, tol: float = 1e-6) -> Location:
-    """Mean of the nearest 1 - trim_fraction of the mass, in turn with the trimming; the row on the border counts in part."""
+    """Mean of the nearest 1 - trim_fraction of the mass, in turn with the trimming; the row on the border counts in part.
+
+    Where rows are spread evenly the means move little; after PLAIN turns they are passed by steps of Barzilai and Borwein's
+    length, and a step after which the nearest rows lie no nearer than about the mean is taken back.
+    """
     if not 0 <= trim_fraction < 1:
         raise ValueError("trim_fraction lies in [0, 1)")
     df = normalized_weights(df, weight)
     rows = Packed(geometry, df, point, id_col)
     at = frechet_median(geometry, df, point, weight, tol=tol, rows=rows).point if initial_point is None else np.asarray(initial_point, float).reshape(geometry.shape)
+    step, last, safe = 1.0, None, None
     for it in range(maxiter):
         kept = rows.nearest(at, 1 - trim_fraction)
+        if safe is not None:
+            _, mass, cost = rows.moments(at, weights=kept)
+            if cost / mass > safe.objective * (1 + 1e-12):
+                at, step, last, safe = safe.point, 1.0, None, None
+                continue
         m = frechet_means(geometry, df, point, initial={0: at}, tol=tol, measure=lambda live, kept=kept: {g: rows.moments(p, weights=kept) for g, p in live.items()})[0]
         gap = float(geometry.dist(at[None], m.point[None])[0])
-        at = m.point
         if gap <= tol:
-            return Location(at, m.objective, it + 1, True, "movement tolerance", m.gradient_norm)
-    return Location(at, m.objective, maxiter, False, "iteration limit", m.gradient_norm)
+            return Location(m.point, m.objective, it + 1, True, "movement tolerance", m.gradient_norm)
+        if it < PLAIN:
+            at = m.point
+            continue
+        u = geometry.log(at[None], m.point[None])[0]
+        if last is not None:
+            step = _longer_step(geometry, last[0], at, step, last[1], u)
+        last, safe = (at, u), m
+        at = geometry.exp(at[None], step * u[None])[0]
+    return Location(m.point, m.objective, maxiter, False, "iteration limit", m.gradient_norm)
+
+
+def _longer_step(geometry: Geometry, old: np.ndarray, new: np.ndarray, step: float, u: np.ndarray, v: np.ndarray) -> float:
+    """How far to go along v at new, where going step along u led from old; from 1 to LONGEST."""
+    moved = geometry.transport(old[None], new[None], u[None])
+    inner = lambda a, b: float(geometry.inner(new[None], a, b)[0])
+    bend = inner(moved, moved - v[None])
+    length = step * inner(moved, moved) / bend if bend > 0 else 2 * step
+    return float(min(max(length, 1.0), LONGEST)) if np.isfinite(length) else 1.0
 
 
 def geodesic_spatial_depth(geometry: Geometry, points: DataFrame, reference: DataFrame, point: str = "point", id_col: str = "id", weight: str | None = None) -> DataFrame:
